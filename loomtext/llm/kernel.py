@@ -6,7 +6,7 @@ numpy, with no Python loop over documents or words.
 
 A word is a maximal run of ASCII letters and digits and of non-ASCII
 characters, except that general punctuation and symbols (U+0080-U+00BF,
-U+2000-U+2FFF) separate words and each Han or kana character is its own word.
+U+2000-U+2FFF, U+3000-U+303F) separate words and each Han or kana character is its own word.
 Hashes are taken over the lower-cased text and are equal on every machine.
 """
 
@@ -122,14 +122,16 @@ def words(column: pa.Array, *, lower: bool = True) -> Words:
     lead = None
     if n and _RARE[data].any():
         lead = (data & 0xC0) != 0x80
-        for at, width in ((data == 0xC2, 2), (data == 0xE2, 3)):
+        punctuation = data == 0xE3
+        punctuation[:-1] &= data[1:] == 0x80
+        for at, width in ((data == 0xC2, 2), (data == 0xE2, 3), (punctuation, 3)):
             for k in range(width):
                 word[k:n] &= ~at[: n - k]
     begin = word[:n].copy()
     if n:
         begin[1:] &= ~word[: n - 1]
         if lead is not None:
-            single = (data >= 0xE3) & (data <= 0xE9)
+            single = (data >= 0xE3) & (data <= 0xE9) & ~punctuation
             begin |= single & word[:n]
             after = np.zeros(n, dtype=bool)
             after[3:] = single[: n - 3] if n > 3 else single[:0]
