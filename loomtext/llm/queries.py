@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, langid, pii, simhash, suffixes, tokens
+from loomtext.llm import decontaminate, html, langid, licenses, packing, pii, rules, simhash, suffixes, tokens
 from loomtext.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +28,29 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packs(documents(spark, sf_dir))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_language_id, op4_pii, op7_simhash, op9_token_counts)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_language_id, op4_pii, op5_packing, op6_licenses, op7_simhash, op8_quality_rules, op9_token_counts, op10_html)}
 ORACLE: dict[str, str] = {}
