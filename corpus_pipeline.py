@@ -5,11 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, simhash
+from loomtext.llm import decontaminate, langid, packing, pii, simhash
 from loomtext.llm.common import documents, table
 from loomtext.runtime import written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
@@ -18,7 +22,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("benchmark decontamination", decontamination)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packs(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", private),
+    ("packing", pack),
+]
 
 #: SimHash and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
