@@ -1,5 +1,5 @@
 """All queries of the library but those of the llm subpackage."""
 
-from loomtext.plans.queries import ORACLE, QUERIES
+from loomtext.plans.structure import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
