@@ -101,7 +101,8 @@ def keyword_weight(attribute: Column, weights: dict[str, float]) -> Column:
     tokens = F.split(F.lower(F.coalesce(attribute, F.lit(""))), r"\s+")
     out = F.lit(0.0)
     for word, w in weights.items():
-        out = out + F.when(F.exists(tokens, lambda t, word=word: F.contains(t, F.lit(word.lower()))), w).otherwise(0.0)
+        low = F.lit(word.lower())
+        out = out + F.when(F.exists(tokens, lambda t: F.contains(t, low)), w).otherwise(0.0)  # noqa: B023
     return out
 
 
@@ -128,6 +129,7 @@ def absolute_url(href: Column, base: Column, *, case_sensitive: bool = True) ->
         F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
         .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
         .when(h == "", base)
+        .when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), h))
         .when(own == "", F.concat(root, F.when(path == "", "/").otherwise(path), tail))
         .otherwise(F.concat(root, resolved, tail))
     )

@@ -358,7 +358,7 @@ def content_paths(pages: DataFrame, site: str = "site", least_text: int = 100) -
                 for n in root.descendants():
                     kids = [c for c in n.children if c.tag in ("p", "pre", "#text")]
                     text = "".join("".join(c.inner_text().split()) for c in kids)
-                    if n.tag not in ("script", "style", "title", "#text", "#document") and len(text) >= least_text:
+                    if n.tag not in ("script", "style", "title", "p", "pre", "a", "span", "b", "strong", "#text", "#document") and len(text) >= least_text:
                         out.append({"site": where, "page_id": page_id, "path": short.of(n), "length": len(text), "text_hash": hashlib.md5(text.encode()).hexdigest()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
