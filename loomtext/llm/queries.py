@@ -53,4 +53,36 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_language_id, op4_pii, op5_packing, op6_licenses, op7_simhash, op8_quality_rules, op9_token_counts, op10_html)}
-ORACLE: dict[str, str] = {}
+#: a word as the kernel has it: ASCII letters and digits and what is above
+#: U+00BF, less general punctuation and symbols. No table holds Han or kana.
+_W = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{3040}-\x{10FFFF}]"
+
+
+def _words(table: str, key: str) -> str:
+    """SQL: key, row_no, word, i (from 0), s and e (characters) of every word."""
+    return rf"""SELECT {key}, row_no, i - 1 AS i, word, s, e FROM (SELECT {key}, row_no, row_number() OVER (PARTITION BY row_no ORDER BY k) AS i, lower(piece) AS word, e - length(piece) AS s, e
+FROM (SELECT {key}, row_no, k, piece, CAST(sum(length(piece)) OVER (PARTITION BY row_no ORDER BY k) AS BIGINT) AS e FROM (SELECT {key}, row_no, generate_subscripts(p, 1) AS k, unnest(p) AS piece
+FROM (SELECT {key}, row_number() OVER () AS row_no, regexp_extract_all(text, '(?s){_W}+|[^0-9A-Za-z\x{{C0}}-\x{{1FFF}}\x{{3040}}-\x{{10FFFF}}]+') AS p FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL))))
+WHERE regexp_matches(piece, '^{_W}'))"""
+
+
+_SPAN, _LEAK = 50, 13
+ORACLE: dict[str, str] = {
+    # windows of 50 words that occur twice, joined where they touch
+    "op1_suffix_dedup": f"""WITH w AS MATERIALIZED ({_words('documents', 'doc_id')}),
+d AS (SELECT doc_id, row_no, list(word ORDER BY i) AS ws, list(s ORDER BY i) AS ss, list(e ORDER BY i) AS es FROM w GROUP BY doc_id, row_no),
+g AS MATERIALIZED (SELECT row_no, i, md5(array_to_string(ws[i + 1 : i + {_SPAN}], ' ')) AS h FROM (SELECT row_no, ws, unnest(range(0, len(ws) - {_SPAN - 1})) AS i FROM d WHERE len(ws) >= {_SPAN})),
+r AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+b AS (SELECT row_no, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row_no ORDER BY i) + {_SPAN} THEN 0 ELSE 1 END AS opens FROM r),
+p AS (SELECT row_no, min(i) AS a, max(i) + {_SPAN} AS z FROM (SELECT row_no, i, sum(opens) OVER (PARTITION BY row_no ORDER BY i) AS part FROM b) GROUP BY row_no, part)
+SELECT doc_id, ss[a + 1] AS start_char, es[z] AS end_char, a AS start_word, z - a AS n_words FROM p JOIN d USING (row_no)""",
+    # pairs of equal words on one diagonal, in runs of 13 or more
+    "op2_decontaminate": f"""WITH w AS MATERIALIZED ({_words('documents', 'doc_id')}), v AS MATERIALIZED ({_words('benchmark', 'item_id')}),
+w3 AS (SELECT *, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS g FROM w WINDOW x AS (PARTITION BY row_no ORDER BY i)),
+v3 AS (SELECT *, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS g FROM v WINDOW x AS (PARTITION BY row_no ORDER BY i)),
+m AS (SELECT w3.row_no AS r, v3.row_no AS q, w3.i, w3.i - v3.i AS diagonal FROM w3 JOIN v3 USING (g)),
+b AS (SELECT *, i - row_number() OVER (PARTITION BY r, q, diagonal ORDER BY i) AS part FROM m),
+p AS (SELECT r, q, min(i) AS a, max(i) + 2 AS z FROM b GROUP BY r, q, diagonal, part HAVING count(*) >= {_LEAK - 2})
+SELECT x.doc_id, item_id, x.s AS start_char, y.e AS end_char, z - a + 1 AS n_words, item_words FROM p JOIN w x ON x.row_no = r AND x.i = a JOIN w y ON y.row_no = r AND y.i = z
+JOIN (SELECT row_no, item_id, count(*) AS item_words FROM v GROUP BY ALL) n ON n.row_no = q""",
+}
