@@ -113,6 +113,14 @@ def strip_html(c: Column) -> Column:
     return decode_entities(F.regexp_replace(out, r"(?s)<[^>]*>", ""))
 
 
+def strip_annotations(c: Column, rounds: int = 3) -> Column:
+    """Comments, scripts, styles, tags, blanks and entities away, and once more
+    what that brings to light, for a bounded number of rounds."""
+    for _ in range(rounds):
+        c = F.regexp_replace(c, r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|&[a-z#0-9]{2,8};", "")
+    return F.regexp_replace(c, SPACE, "")
+
+
 def decode_entities(c: Column) -> Column:
     for k, v in ENTITIES.items():
         c = F.replace(c, F.lit(k), F.lit(v))

@@ -365,3 +365,56 @@ def content_paths(pages: DataFrame, site: str = "site", least_text: int = 100) -
     each = mapped(pages.select(F.col(site).cast("string"), "page_id", "html"), f, "site string, page_id long, path string, length long, text_hash string")
     g = each.groupBy("site", "path").agg(F.countDistinct("page_id").alias("pages"), F.sum("length").alias("text_length"), F.countDistinct("text_hash").alias("texts"))
     return g.where("pages = 1 or texts > 1").drop("texts")
+
+
+_FLOOR = re.compile(r"\d+\s*(?:楼|#|层)|沙发|板凳|楼主|(?i:floor|post)\s*#?\d+")
+
+
+def forum_posts(root: Node, s: Strategy | None = None) -> list[dict[str, str]]:
+    """Base, floor, author and date paths of the posts of a forum page.
+
+    Floor marks are texts like "3楼" or "#3"; the bases are the ancestors that
+    hold one mark each, at the highest level where they are of one tag under one
+    parent. Author paths are those of links, with a bonus for names in "aut";
+    date paths those of texts that read as dates, with a bonus for "time"."""
+    marks = [n for n in root.descendants() if n.tag not in ("#text", "script", "style", "title") and (t := n.own_text().strip()) and len(t) < 20 and _FLOOR.search(t)]
+    if len(marks) < 2:
+        return []
+    best: list[Node] | None = None
+    for level in range(1, (s or Strategy()).climb):
+        up = [_ancestor(n, level) for n in marks]
+        if any(u is None for u in up) or len({u.node_id for u in up if u}) < len(marks):
+            break
+        if len({(u.parent.node_id, u.tag) for u in up if u}) == 1:
+            best = [u for u in up if u]
+    if best is None:
+        return []
+    short = ShortPaths(root)
+
+    def ranked(test, bonus: str) -> str | None:
+        seen: Counter[str] = Counter()
+        for b in best:
+            for p, n in {relative(n, b): n for n in b.descendants() if n.tag != "#text" and test(n)}.items():
+                named = any(bonus in (x.attrs.get("id", "") + x.attrs.get("class", "")).lower() for x in itertools.takewhile(lambda x: x is not b, (n, *n.ancestors())))
+                seen[p] += 3 if named else 2
+        return max(seen, key=lambda p: (seen[p], -len(p), p)) if seen else None
+
+    out = {"ItemRootXPath": f"{short.of(best[0].parent)}/{best[0].tag}", "FloorXPath": ranked(lambda n: bool(_FLOOR.search(n.own_text())) and len(n.own_text()) < 20, "info")}
+    out["AuthorXPath"] = ranked(lambda n: n.tag == "a" and bool(n.clean_text()), "aut")
+    out["DateXPath"] = ranked(lambda n: bool(_DATE.search(n.own_text())) and len(n.own_text()) < 100, "time")
+    return [{k: v for k, v in out.items() if v}]
+
+
+def validated(items: DataFrame, least: int = 3) -> DataFrame:
+    """page_id, valid: whether the items of a wrapper (page_id, title, url, ..)
+    are enough and whole: titles and addresses in nine of ten, and, for the
+    fields that it gives at all, dates, media and authors in nine, views in
+    four, replies in one of ten."""
+    from pyspark.sql import functions as F
+
+    share = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
+    g = items.groupBy("page_id").agg(F.count("*").alias("n"), *(share(c).alias(c) for c in ("title", "url", "pub_date", "media", "author", "views", "replies")))
+    ok = (F.col("n") >= least) & (F.col("title") >= 0.9) & (F.col("url") >= 0.9)
+    for c, most in (("pub_date", 0.9), ("media", 0.9), ("author", 0.9), ("views", 0.4), ("replies", 0.1)):
+        ok = ok & ((F.col(c) == 0) | (F.col(c) >= most))
+    return g.select("page_id", ok.alias("valid"))

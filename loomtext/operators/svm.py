@@ -471,3 +471,18 @@ def save_transform(t: dict, path: str) -> None:
 
 def load_transform(path: str) -> dict:
     return json.loads(Path(path).read_text())
+
+
+def kernel_table(rows: DataFrame, columns: DataFrame, gamma: float, *, most_columns: int = 10_000) -> DataFrame:
+    """row, column, value of every pair of (id, features): the columns are
+    broadcast if there are at most ``most_columns``, else Spark plans the product."""
+    c = columns.select(F.col("id").alias("column"), F.col("features").alias("y"))
+    if c.limit(most_columns + 1).count() <= most_columns:
+        c = F.broadcast(c)
+    return rows.select(F.col("id").alias("row"), "features").crossJoin(c).select("row", "column", rbf(F.col("features"), F.col("y"), gamma).alias("value"))
+
+
+def split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """(rest, test): rows whose key hashes into the share are the test; the same on every run."""
+    test = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))
+    return df.where(~test), df.where(test)

@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import nodes as N
 from loomtext.functions import paths as P
-from loomtext.operators import article, evaluate, formatter, listing, paging, reflow, svm, wrapper
+from loomtext.functions import similarity
+from loomtext.functions import text as T
+from loomtext.operators import article, evaluate, features, formatter, listing, paging, reflow, svm, wrapper
 from loomtext.operators.charset import detected
 from loomtext.operators.dom import node_table
 from loomtext.plans.queries import ORACLE, QUERIES, query, table
@@ -225,3 +228,45 @@ def reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_regionkey || ',' || r_name AS value FROM region")
 def table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_text(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "csv")
+
+
+@query("SELECT page_id, CAST(sum(n) AS BIGINT) AS links FROM (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS n FROM pages) GROUP BY page_id")
+def subtree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links below the root element, by running sums over the node table."""
+    x = N.subtree_counts(node_table(_pages(spark, sf_dir)), links=F.col("tag") == "a")
+    return x.where("tag = 'html'").select("page_id", "links")
+
+
+@query()
+def same_tag_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.with_neighbours(node_table(_pages(spark, sf_dir))).select("page_id", "node_id", "previous_id", "next_id")
+
+
+@query()
+def child_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.child_histograms(node_table(_pages(spark, sf_dir)))
+
+
+@query()
+def link_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.pattern_features(features.link_nodes(node_table(_pages(spark, sf_dir))))
+
+
+@query()
+def valid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.validated(listing.crawl_items(_pages(spark, sf_dir)))
+
+
+@query()
+def common_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest common substring and subsequence of the addresses of a host."""
+    p = _pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
+    a, b = p.alias("a"), p.alias("b")
+    pairs = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.page_id") < F.col("b.page_id")))
+    x = pairs.select(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.url").alias("x"), F.col("b.url").alias("y"))
+    return similarity.with_common_lengths(x, "x", "y").select("a", "b", "common_substring", "common_subsequence")
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|&[a-z#0-9]{{2,8}};', '', 'g'), '{T.SPACE}', '', 'g') AS text FROM pages""")
+def bare_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", T.strip_annotations(F.col("html")).alias("text"))
