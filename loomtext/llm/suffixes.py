@@ -75,24 +75,37 @@ class SuffixFamily:
         batch and the single ones of the levels that the batch meets. ``docs``
         has rid and text; ``last`` leaves the levels as they are."""
         array = seeds(docs, self.span, self.seed).repartition(self.buckets, "key").distinct()
+        # each scan and merge is a join of two bucketed tables, which needs no
+        # shuffle (a union of them would either, or be wrong: see the README)
         name, path = self._store(array, "batch")
-        new = self.spark.table(name).select("key", "rid", "pos", F.lit(1).alias("n"), F.lit(True).alias("new"))
-        old = [self.spark.table(t).withColumn("new", F.lit(False)) for _, t, _ in self.levels]
-        met = union([new, *old]).withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1 and (new or n = 1)")
-        hits = written(met.select("rid", "pos"), "suffix-hits")
+        new = self.spark.table(name)
+        found = new.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        met = []
+        for _, t, _ in self.levels:
+            level = self.spark.table(t)
+            found = found.join(level.select("key", F.lit(2).alias("old")), "key", "left").withColumn("n", F.coalesce("old", "n")).drop("old")
+            met.append(level.where("n = 1").join(new.select("key"), "key", "left_semi").select("rid", "pos"))
+        hits = written(union([found.where("n > 1").select("rid", "pos"), *met]), "suffix-hits")
         if not last:
-            rank, merging = 0, []
-            while self.levels and self.levels[-1][0] == rank:
-                merging.append(self.levels.pop())
-                rank += 1
-            entries = union([new.drop("new"), *(self.spark.table(t) for _, t, _ in merging)])
-            level = entries.groupBy("key").agg(F.min(F.struct("rid", "pos")).alias("o"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
-            self.levels.append((rank, *self._store(level.select("key", "o.rid", "o.pos", "n"), "level")))
-            for _, t, p in merging:
-                self._drop(t, p)
+            level = new.groupBy("key").agg(F.min(F.struct("rid", "pos")).alias("o"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
+            carry = (0, *self._store(level.select("key", "o.rid", "o.pos", "n"), "level"))
+            while self.levels and self.levels[-1][0] == carry[0]:
+                carry = self._merged(self.levels.pop(), carry)
+            self.levels.append(carry)
         self._drop(name, path)
         return hits
 
+    def _merged(self, x: tuple[int, str, str], y: tuple[int, str, str]) -> tuple[int, str, str]:
+        """One level of the next rank from two of the same."""
+        a, b = self.spark.table(x[1]).alias("a"), self.spark.table(y[1]).alias("b")
+        both = F.col("a.n").isNotNull() & F.col("b.n").isNotNull()
+        n = F.when(both, 2).otherwise(F.coalesce("a.n", "b.n")).alias("n")
+        m = a.join(b, F.col("a.key") == F.col("b.key"), "full").select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "rid", "pos")), n)
+        out = (x[0] + 1, *self._store(m, "level"))
+        for _, t, p in (x, y):
+            self._drop(t, p)
+        return out
+
     def close(self) -> None:
         for _, t, p in self.levels:
             self._drop(t, p)

@@ -85,6 +85,12 @@ def test_levels_merge_like_a_binary_counter(spark, docs):
     for i in range(5):
         family.add(batch.where(F.pmod("rid", F.lit(5)) == i))
         ranks.append([r for r, _, _ in family.levels])
+        for _, t, _ in family.levels:
+            assert spark.table(t).groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c > 1 or n > 2").count() == 0
+    keys = suffixes.seeds(batch).distinct().groupBy("key").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
+    first = spark.table(family.levels[0][1]).select("key")
+    old = suffixes.seeds(batch.where(F.pmod("rid", F.lit(5)) < 4)).select("key").distinct()
+    assert first.exceptAll(old).count() == old.exceptAll(first).count() == 0 and keys.count() >= first.count()
     family.close()
     assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
 
