@@ -64,21 +64,27 @@ FINDERS = {
 }
 _DATE = re.compile(r"\d{4}[ .\-]\d{2}[ .\-]\d{2}|\d{2}[ .\-]\d{2}[ .\-]\d{4}")
 
-# What a text must hold for any of the above, in RE2's syntax.
-_D = r"(?:\p{Nd}|" + "|".join(sorted(DIGIT)) + ")"
+# What a text must hold for any of the above, in RE2's syntax, whose \s and \w
+# are ASCII only. A character that may be part of any identifier and is rare
+# is enough by itself; so are two spelled digits in a row, without which no
+# third comes.
+_S, _W, _DASH, _STOP = r"[\t-\r\x1c-\x20\x{85}\p{Z}]", r"\p{L}\p{N}_", r"\-‐-―−", "[.․。｡•∙．ꓸ]"
+_RUN = rf"(?:{_S}|[().,/+•{_DASH}]){{0,3}}"
 _FAINT = r"[\x{00AD}\x{180E}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 TRIGGER = "(?i)" + "|".join(
     [
         "[@＠﹫]",
-        r"[\[({<（＜［｛]\s*(?:at|arroba|chez|dot|punto|point|punkt|[.․。｡•∙．ꓸ])\s*[\])}>）＞］｝]",
-        r"\p{Nd}\s+dot\s+[\p{Nd}a-z]",
-        r"\w\s+at\s+[\w\-]+(?:[.․。｡•∙．ꓸ]|\s*[\[({<]|\s+dot\s)",
-        rf"{_D}(?:[\s().,\-/+‐-―−]{{0,3}}{_D}){{6}}",
-        r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}",
-        r"[a-z]{2}\p{Nd}{2}[ ]?[a-z0-9]{4}[ ]?[a-z0-9]{4}[ ]?[a-z0-9]{4}",
-        r"(?:key|token|secret|password|passwd|pwd)\s{0,4}[=:]",
+        rf"[\[({{<（＜［｛]{_S}*(?:at|arroba|chez|dot|punto|point|punkt|{_STOP}){_S}*[\])}}>）＞］｝]",
+        rf"\p{{Nd}}{_S}+dot{_S}+[\p{{Nd}}a-z]",
+        rf"[{_W}]{_S}+at{_S}+[{_W}{_DASH}]+(?:{_STOP}|{_S}*[\[({{<]|{_S}+dot{_S})",
+        rf"\p{{Nd}}(?:{_RUN}\p{{Nd}}){{6}}",
+        rf"(?:^|[^{_W}]){_NAME}(?:(?:{_S}|[,.•{_DASH}]){{1,2}}|(?:{_S}*\p{{Nd}})+{_S}*){_NAME}(?:[^{_W}]|$)",
+        r"\p{Nd}[.•]\p{Nd}{1,3}[.•]\p{Nd}{1,3}[.•]\p{Nd}",
+        rf"[a-z]{{2}}\p{{Nd}}{{2}}(?:{_S}?[a-z\p{{Nd}}]{{4}}){{3}}",
+        rf"(?:key|token|secret|password|passwd|pwd){_S}{{0,4}}[=:]",
         _FAINT,
-        "[" + "".join(sorted(c for c in _LOOK if ord(c) > 0x250 and unicodedata.category(c)[0] in "LNPS" and c not in "‐‑‒–—•−")) + "]",
+        # İ is an i to Python's (?i)
+        "[İ" + "".join(sorted(c for c in _LOOK if unicodedata.category(c)[0] in "LNPS" and c not in "‐‑‒–—•−")) + "]",
     ]
 )
 
@@ -116,7 +122,7 @@ def digits(t: Traced) -> Traced:
         for n in _ONE_NAME.finditer(t.text, m.start(), m.end()):
             if n.start() > at and not t.text[at : n.start()].strip(" \t\n,.-"):
                 hits.append((at, n.start(), ""))
-            hits.append((n.start(), n.end(), DIGIT[n[0].lower()]))
+            hits.append((n.start(), n.end(), DIGIT[n[0].replace("İ", "i").lower().replace("ſ", "s")]))
             at = n.end()
     return t.replaced(hits)
 

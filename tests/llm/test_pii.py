@@ -48,6 +48,26 @@ def test_the_trigger_misses_nothing():
             assert 0 <= a < b <= len(t) and v
 
 
+def test_the_trigger_misses_nothing_with_folded_and_accented_characters():
+    rnd = random.Random(8)
+    keys = {}
+    for k, v in pii.FOLD.items():
+        keys.setdefault(v, []).append(k)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    sources = [c[2] for c in CASES if c[1] != "secret"] + ["secret = 24be64439e3e", "+33 06 12 34 56 78", "card 4785 3805 9239 1139", "joe at example.com", "joe at my-site.example dot com", "one two seven.0.0.1", "555 dot 123 dot 4567 at home"]
+    texts = ["jos\u00e9 at example.com", "10\u20220\u20220\u20221"]
+    for t in sources:
+        # each stand-in at each place it fits, alone and everywhere at once
+        for c in sorted(set(t)):
+            swaps = (rnd.sample(keys[c], 12) if "0" <= c <= "9" else keys.get(c, [])) + (spaces if c == " " else []) + (list("\u00e9\u00fc\u00f1\u0130\u0131\u017f\u212a") if c.isalpha() else [])
+            texts += [x for k in swaps for x in (t.replace(c, k), t.replace(c, k, 1))]
+        for _ in range(300):
+            texts.append("".join(rnd.choice(keys.get(c, [c]) + ([rnd.choice(spaces)] if c == " " else []) + ["\u00e9"] * c.isalpha()) if rnd.random() < 0.3 else c for c in t))
+    hit = pii.suspects(pa.array(texts)).to_pylist()
+    assert sum(map(bool, map(pii.identifiers, texts))) > 1000
+    assert not [t for t, h in zip(texts, hit) if not h and pii.identifiers(t)]
+
+
 def test_frames(spark):
     rows = [(i, c[0], "x") for i, c in enumerate(CASES)] + [(100, None, "x"), (None, CASES[0][0], "x"), (0, CASES[0][0], "x"), (101, "", "x"), (102, "word " * 60000 + "a@b.com " + "word " * 60000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
