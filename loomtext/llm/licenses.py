@@ -62,7 +62,50 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ("CC-BY-4.0", "commons attribution 4", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "commons sharealike 4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "cc0 1", "To the extent possible under law, the author has dedicated this work to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
+    ("BSD-2-Clause", "bsd 2", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "redistributions", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""),
+    ("LGPL-3.0", "lesser 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "lesser 2 1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "lesser 3", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1", "lesser 2 1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0", "affero 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "affero 3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("GPL-2.0", "gnu 2", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("Unlicense", "unlicense", "Released under the Unlicense."),
+    ("Unlicense", "unencumbered", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "boost 1", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "eclipse 2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Zlib", "altered misrepresented", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be
+misrepresented; Altered source versions must be plainly marked as such. This notice may not be removed or altered from any source distribution."""),
+    ("CC0-1.0", "cc0 1", "Licensed under CC0 1.0."),
 ]
+TEMPLATES += [
+    (name, f"spdx {must}", f"SPDX-License-Identifier: {name}")
+    for name, must in [("GPL-2.0", "gpl 2"), ("GPL-3.0", "gpl 3"), ("LGPL-2.1", "lgpl 2 1"), ("LGPL-3.0", "lgpl 3"), ("AGPL-3.0", "agpl 3"), ("BSD-2-Clause", "bsd 2"), ("BSD-3-Clause", "bsd 3"), ("ISC", "isc"), ("MPL-2.0", "mpl 2"), ("Unlicense", "unlicense"), ("BSL-1.0", "bsl 1"), ("EPL-2.0", "epl 2"), ("Zlib", "zlib"), ("CC0-1.0", "cc0 1")]
+]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _v in ("4.0", "3.0", "2.5", "2.0", "1.0", ""):
+    _kind = {"4.0": " 4.0 International", "": ""}.get(_v, f" {_v}" + " Unported" * (_v == "3.0"))
+    # a version's zero may be left out of a long notice
+    _no = _v.removesuffix(".0").replace(".", " ")
+    for _s, _long in _CC.items():
+        _name = f"CC-{_s}-{_v}".rstrip("-")
+        TEMPLATES += [
+            (_name, f"cc {_s} {_no}", f"Licensed under CC {_s} {_v}"),
+            (_name, f"license cc {_s} {_no}", f"License: CC {_s} {_v}"),
+            (_name, f"spdx cc {_s} {_no}", f"SPDX-License-Identifier: CC-{_s}-{_v}"),
+            (_name, f"commons {_long} {_no}", f"Licensed under a Creative Commons {_long}{_kind} License."),
+            (_name, f"commons {_long} {_no}", f"This work is licensed under a Creative Commons {_long}{_kind} License."),
+        ]
 
 
 def longest_rise(x: list[int]) -> list[int]:
@@ -123,6 +166,7 @@ class Templates:
     must: list[set[int]]
     vocab: np.ndarray  # sorted hashes
     count: np.ndarray  # [vocab, templates]
+    needed: np.ndarray  # [vocab, templates], 1 for the words of must
 
 
 def compiled(templates: list[tuple[str, str, str]]) -> Templates:
@@ -131,10 +175,12 @@ def compiled(templates: list[tuple[str, str, str]]) -> Templates:
     vocab = np.unique(w.hash)
     words = [np.searchsorted(vocab, w.hash[a:b]).tolist() for a, b in zip(w.first, w.first[1:])]
     must = [set(np.searchsorted(vocab, m.hash[a:b]).tolist()) for a, b in zip(m.first, m.first[1:])]
-    count = np.zeros((len(vocab), len(words)), dtype=np.int64)
+    # in floats products are fast, and exact at this size
+    count, needed = np.zeros((2, len(vocab), len(words)), dtype=np.float32)
     for t, x in enumerate(words):
         np.add.at(count[:, t], x, 1)
-    return Templates([n for n, _, _ in templates], words, must, vocab, count)
+        needed[list(must[t]), t] = 1
+    return Templates([n for n, _, _ in templates], words, must, vocab, count, needed)
 
 
 def _matches(pos: np.ndarray, ids: np.ndarray, template: list[int], must: set[int], coverage: float) -> Iterator[tuple[int, int, int]]:
@@ -186,10 +232,10 @@ def notices(texts: pa.Array, t: Templates, coverage: float = COVERAGE) -> Iterat
         i = np.minimum(np.searchsorted(t.vocab, w.hash), len(t.vocab) - 1)
         hit = np.flatnonzero(t.vocab[i] == w.hash)
         doc, ids = np.searchsorted(w.first, hit, side="right") - 1, i[hit]
-        have = np.zeros((w.docs, len(t.vocab)), dtype=np.int64)
+        have = np.zeros((w.docs, len(t.vocab)), dtype=np.float32)
         have[doc, ids] = 1
         most = have @ t.count
-        enough = most >= np.ceil(coverage * t.count.sum(0))
+        enough = (most >= np.ceil(coverage * t.count.sum(0, dtype=np.float64))) & (have @ t.needed == t.needed.sum(0))
         if not enough.any():
             continue
         chars = K.char_starts(w.data)

@@ -53,6 +53,37 @@ def test_offsets_names_and_clean_texts():
         assert found(clean) == []
 
 
+def test_creative_commons_variants_and_versions():
+    for v in ("4.0", "3.0", "2.5", "2.0", "1.0", ""):
+        for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+            want = f"CC-{kind}-{v}".rstrip("-")
+            for text in (f"an anea. Licensed under CC {kind} {v}. The thon", f"SPDX-License-Identifier: {want}", f"License: CC {kind} {v}", f"This work is licensed under a Creative Commons {L._CC[kind]} {v} International License."):
+                assert [n for n, _, _ in found(text)] == [want], text
+
+
+def test_near_names_are_told_apart():
+    for text, want in (("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("Released under the Unlicense.", "Unlicense")):
+        assert [n for n, _, _ in found(text)] == [want], text
+
+
+def test_license_lines_of_the_documents_against_plain_search(spark):
+    import glob
+
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    if not glob.glob("/root/testdata/sf0.01/documents.parquet"):
+        return
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got, want = {}, {}
+    for i, t in enumerate(texts):
+        for line, name in lines.items():
+            if line in t:
+                want[i, name] = t.count(line)
+    for i, name, *_ in L.notices(pa.array(texts), L.compiled(L.TEMPLATES)):
+        got[i, name] = got.get((i, name), 0) + 1
+    assert {n for _, n in want} == set(lines.values())
+    assert all(got.get(k, 0) >= n for k, n in want.items())
+
+
 def test_frames(spark):
     text = "x. Released under the MIT License."
     rows = [(1, text, 1.0), (1, text, 1.0), (None, text, 1.0), (2, None, 1.0), (3, "", 1.0), (4, "the license " * 50000 + text, 1.0)]
