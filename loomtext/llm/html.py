@@ -21,7 +21,17 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import mapped, text_column
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_A_TITLE = r"<title\b[^>]*>(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*)"
+# groups inside a possessive loop fail in Python's re: no group, each name written out
+_CLOSED = "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in ("script", "style", "noscript", "template", "noframes"))
+# A head ends at its </head> or, as its end tag may be left out, before the first
+# text or tag that can't be in one.
+_HEAD = (
+    rf"<head\b[^>]*>(?:\s+|<!--.*?-->|<(?:!(?!--)|\?)[^>]*>|{_CLOSED}|{_A_TITLE}"
+    r"|<(?:base|basefont|bgsound|link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</(?!(?:head|body|html|br)\b)[a-z][^>]*>"
+    r"|<(?:!--|(?:script|style|noscript|template|noframes)\b).*?(?=</head\s*>))*+(?:</head\s*>)?"
+)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|{_HEAD}|{_A_TITLE}|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 
@@ -38,7 +48,7 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page; ``head``, scripts, styles and comments have none."""
+    """The text blocks of a page; ``head``, titles, scripts, styles and comments have none."""
     out: list[Block] = []
     text: list[str] = []
     words = linked = depth = 0

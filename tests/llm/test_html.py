@@ -16,6 +16,17 @@ def test_blocks_by_hand():
     assert H.observed(got)[0].tolist() == [0, 0, 1, 1, 2, 1]
 
 
+def test_head_without_its_end_tag():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    inside = '<meta charset="a>b"><link rel=x><title>t < u</title><!-- <p> --><style>p{}</style><script>"</head><p>no"</script><base href=z>'
+    for head in ("<head>", "<HEAD lang=en>\n"):
+        for then in ("<body><p>one two</p>", "<p>one two", "<div>one</div> <h1>two</h1>", "</head><body><p>one two", "</head >one two", "one two", "</body>one two"):
+            assert " ".join(text(f"<html>{head}{inside}{then}")) == "one two", then
+    assert text("<html><head><title>t</title><body><p>text of it") == ["text of it"]
+    assert text("<head><title>open<body><p>a b") == ["a b"] and text("<head><script>open</head><p>a b") == ["a b"] and text("<head><!-- open</head><p>a b") == ["a b"]
+    assert text("<head></head><header>a</header>") == ["a"] and text("<header>a<p>b") == ["a", "b"] and text("<head>") == []
+
+
 def test_tree_learns_and_is_stable():
     x = np.array(H.LABELLED, dtype=float)
     a, b = H.trained(), H.trained()
