@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -59,9 +59,14 @@ FINDERS = {
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     "ssn": re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "card": re.compile(r"(?<!\d)(?<!\d[ \-])\d(?:[ \-]?\d){12,18}(?![ \-]?\d)"),
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{2,4}(?:[ .\-]\d{2,4}){0,4}(?!\d)|(?<![\w.])\+?\d{10,12}(?!\d)"),
+    "card": re.compile(r"(?<!\d)(?<!\d[ \-])\d(?:[ \-]?\d){12,}+"),
+    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{2,4}(?:[ .\-]\d{2,4})*(?!\d)|(?<![\w.])\+?\d{10,12}(?!\d)"),
 }
+# The parts of a run that is too long for one number.
+_CARD = re.compile(r"\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,4}|\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{2,4}(?:[ .\-]\d{2,4}){0,4}|\+?\d{10,12}")
+_USUAL = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:(?:\(\d{3}\) ?|\d{3}([ .\-]))?\d{3}[ .\-]\d{4}|\d{2}(?:([ .\-])\d{2})(?:\2\d{2}){3})|\+?\d{10,12}")
+_GROUP = re.compile(r"\+?\(?\d+\)?")
 _DATE = re.compile(r"\d{4}[ .\-]\d{2}[ .\-]\d{2}|\d{2}[ .\-]\d{2}[ .\-]\d{4}")
 
 # What a text must hold for any of the above, in RE2's syntax, whose \s and \w
@@ -140,6 +145,70 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _luhn(s: str) -> bool:
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def _card_worth(s: str) -> int:
+    if not _CARD.fullmatch(s) or not s.strip("0 -"):
+        return 0
+    return sum(map(str.isdigit, s)) * (3 if _luhn(s) else 2)
+
+
+def _phone_worth(s: str) -> int:
+    n = sum(map(str.isdigit, s))
+    if not 7 <= n <= 15 or not _PHONE.fullmatch(s) or _DATE.fullmatch(s) or not s.strip("0 .-"):
+        return 0
+    return n * (3 if _USUAL.fullmatch(s) and len(set(re.findall(r"(?<=\d)[ .\-](?=\d)", s))) < 2 else 2)
+
+
+def _parts(s: str, worth: Callable[[str], int]) -> list[tuple[int, int]]:
+    """The spans of the numbers that a run of digit groups is made of: those
+    that together are worth most, and so leave the fewest digits out."""
+    groups = [m.span() for m in _GROUP.finditer(s)]
+    best: list[tuple[int, int, int]] = [(0, -1, 0)]  # worth up to a group, where its last number starts, its groups
+    for k in range(1, len(groups) + 1):
+        now = (best[k - 1][0], -1, 0)
+        for i in range(max(0, k - 8), k):
+            w = worth(s[groups[i][0] : groups[k - 1][1]])
+            if w and best[i][0] + w > now[0]:
+                now = (best[i][0] + w, i, k - i)
+        best.append(now)
+    out, k = [], len(groups)
+    while k > 0:
+        _, i, n = best[k]
+        if n:
+            out.append((groups[i][0], groups[k - 1][1]))
+        k = i if n else k - 1
+    return out[::-1]
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Where others follow, an IBAN is the longest start of a match that proves
+    right, and the search goes on behind it."""
+    at = 0
+    while m := FINDERS["iban"].search(text, at):
+        a, b = m.span()
+        ends = [b, *(x for x in range(b - 1, a, -1) if text[x] == " ")]
+        end = next((x for x in ends if len(text[a:x].replace(" ", "")) >= 15 and _iban(text[a:x])), 0)
+        if end:
+            yield a, end
+        at = end or a + 1
+
+
+def _within(kind: str, a: int, b: int, s: str) -> list[tuple[int, int]]:
+    """The spans of the identifiers in s, a match from a to b."""
+    n = sum(map(str.isdigit, s))
+    if kind == "card" and n > 19:
+        return [(a + x, a + y) for x, y in _parts(s, _card_worth)]
+    if kind == "phone" and (n > 15 or not _PHONE.fullmatch(s)):
+        return [(a + x, a + y) for x, y in _parts(s, _phone_worth)]
+    if kind == "phone" and (n < 7 or _DATE.fullmatch(s)):
+        return []
+    return [(a, b)]
+
+
 def normalised(text: str) -> Traced:
     return undisguised(digits(folded(Traced(text, list(range(len(text))), list(range(1, len(text) + 1))))))
 
@@ -150,18 +219,24 @@ def identifiers(text: str) -> list[tuple[str, int, int, str]]:
     t = normalised(text)
     found: list[tuple[str, int, int, str]] = []
     taken = bytearray(len(t.text))
+    rest = t.text
     for kind, pattern in FINDERS.items():
-        for m in pattern.finditer(t.text):
-            a, b = m.span(1) if kind == "secret" else m.span()
-            value = t.text[a:b]
-            n = sum(c.isdigit() for c in value)
-            if kind == "phone" and (not 7 <= n <= 15 or _DATE.fullmatch(value)) or kind == "iban" and not _iban(value) or any(taken[a:b]):
+        if kind == "iban":
+            spans = _ibans(rest)
+        elif kind == "secret":
+            spans = (m.span(1) for m in pattern.finditer(rest))
+        else:
+            spans = (x for m in pattern.finditer(rest) for x in _within(kind, *m.span(), m[0]))
+        for a, b in spans:
+            if any(taken[a:b]):
                 continue
             if kind == "email":
-                a += len(value) - len(value.lstrip(".%+-"))
-                value = t.text[a:b]
+                a += len(t.text[a:b]) - len(t.text[a:b].lstrip(".%+-"))
             taken[a:b] = b"\1" * (b - a)
-            found.append((kind, t.start[a], t.end[b - 1], value))
+            found.append((kind, t.start[a], t.end[b - 1], t.text[a:b]))
+        if found and kind in ("ssn", "iban", "card"):
+            # what is taken parts what stands beside it
+            rest = "".join("_" if x else c for c, x in zip(t.text, taken))
     return sorted(found, key=lambda x: (x[1], x[2]))
 
 

@@ -36,6 +36,37 @@ def test_clean(text):
     assert pii.identifiers(text) == []
 
 
+ADJACENT = [
+    ("card", ["4111111111111111", "5500005555555559"]),
+    ("card", ["7536784127813050", "4845168114407329", "4111111111111111"]),
+    ("card", ["4111 1111 1111 1111", "5500 0055 5555 5559"]),
+    ("card", ["4111-1111-1111-1111", "3782 822463 10005", "5500005555555559"]),
+    ("phone", ["555-123-4567", "555-987-6543"]),
+    ("phone", ["555-123-4567", "555-987-6543", "555-222-3333", "555-444-5555"]),
+    ("phone", ["555.123.4567", "555.987.6543"]),
+    ("phone", ["555 123 4567", "555 987 6543"]),
+    ("phone", ["06 12 34 56 78", "06 98 76 54 32"]),
+    ("phone", ["+1 555 123 4567", "+1 555 987 6543"]),
+    ("phone", ["5551234567", "5559876543"]),
+    ("ssn", ["078-05-1120", "078-05-1121"]),
+    ("iban", ["DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"]),
+    ("iban", ["ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332"]),
+]
+
+
+@pytest.mark.parametrize(("kind", "values"), ADJACENT)
+def test_identifiers_side_by_side(kind, values):
+    text = "pay " + " ".join(values) + " now"
+    assert [(k, text[a:b], v) for k, a, b, v in pii.identifiers(text)] == [(kind, v, v) for v in values]
+    assert pii.redact(text) == "pay " + " ".join([f"<{kind.upper()}>"] * len(values)) + " now"
+
+
+def test_different_identifiers_side_by_side():
+    text = "078-05-1120 4111111111111111 555-123-4567 4111 1111 1111 1111 10.0.0.1 DE89 3704 0044 0532 0130 00 555-987-6543"
+    assert pii.redact(text) == "<SSN> <CARD> <PHONE> <CARD> <IP> <IBAN> <PHONE>"
+    assert pii.redact("row 12345 4111 1111 1111 1111") == "row 12345 <CARD>"
+
+
 def test_the_trigger_misses_nothing():
     rnd = random.Random(6)
     atoms = [*(c[2] for c in CASES), *CLEAN, *"@.-()[] 0123456789", " at ", " dot ", "[at]", "(dot)", "five", "Seven ", "tres", ".com", "joe", "а", "​", "１", "key=", "+1", "abcdef12", "–", " "]
