@@ -1,23 +1,34 @@
 """Near-duplicate groups by an LSH forest over 128-bit SimHashes.
 
 Every document gets two SimHashes: of its set of words, which the forest
-indexes, and of its set of 3-word shingles, which verifies. A tree of the
-forest is a trie over the bits in a random order. Two signatures at distance d
-share a prefix of b of the 128 bits with probability C(128-d, b) / C(128, b),
-so L trees find the pair with 1 - (1 - p)^L. ``plan`` weighs depth against
-trees for the number of signatures at hand: the denser the table, the deeper
-the prefix. From that depth each query has climbed to prefixes just short
-enough for ``recall`` at the outermost distance; nearer pairs are found more
-often. All pairs that share a prefix are compared, none is capped.
+indexes, and of its set of 3-word shingles, which verifies. Equal signatures
+are one node.
+
+A tree of the forest is a trie over the 128 bits in a random order. Two
+signatures at distance d share a prefix of b bits with probability
+C(128-d, b) / C(128, b), so a longer prefix needs more trees for the same
+recall. The tries are read at the depths of ``LEVELS``, each with as many trees
+as reach ``RECALL`` at the outermost distance. A node looks at the shortest
+prefixes first. In a bucket of up to ``DENSE`` nodes it is compared with every
+other one. Where the bucket holds more, its nodes go down to the longer
+prefixes of the next level, and to that level's trees: prefixes thus are as
+long as the density at that place asks for, and nowhere so long that the trees
+at hand would miss the target. What is too dense even at the last level is
+compared whole, in chunks that go to different tasks. Nothing depends on the
+size of the table, and no bucket is capped.
 
 A pair is near when the words' hashes differ in at most ``RADIUS`` bits and
-the shingles' in at most ``VERIFY``. Groups are the connected components.
+the shingles' in at most ``VERIFY``. Each pair is counted in the first bucket
+that both its nodes share, so the number of links is exact without a list of
+all pairs; a bucket gives the edges of a spanning forest only. Groups are the
+connected components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import kernel as K
-from loomtext.llm.common import batch, column, keyed, mapped, text_column, union, whole_groups
+from loomtext.llm.common import batch, column, keyed, mapped, text_column, whole_groups
 from loomtext.llm.components import components
 from loomtext.runtime import drop, written
 
-BITS, RADIUS, VERIFY, RECALL, WAVE = 128, 20, 40, 0.92, 16
+BITS, RADIUS, VERIFY, RECALL, DENSE, CHUNK = 128, 20, 40, 0.97, 4096, 2048
+LEVELS = (14, 24)
 U64 = np.uint64
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
 
@@ -101,26 +113,36 @@ def share(d: int, depth: int) -> float:
     return math.exp(math.lgamma(BITS - d + 1) - math.lgamma(BITS - d - depth + 1) - math.lgamma(BITS + 1) + math.lgamma(BITS - depth + 1))
 
 
-def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """Prefix depth and number of trees for n signatures: the cheapest that
-    reach ``recall`` at ``radius``, a row of a tree at 3 us and a pair at 6 ns."""
-    best = None
-    for depth in range(6, 41):
-        trees = math.ceil(math.log(1 - recall) / math.log(1 - share(radius, depth)))
-        cost = trees * (3e-6 + 6e-9 * n / 2 ** (depth + 1))
-        if best is None or cost < best[0]:
-            best = (cost, depth, trees)
-    return best[1], best[2]
-
-
-def prefixes(s: np.ndarray, depth: int, trees: range, seed: int = 7) -> np.ndarray:
-    """[trees, rows]: the first bits of each signature in each tree's order."""
-    out = np.zeros((len(trees), len(s)), dtype=np.int64)
-    for i, t in enumerate(trees):
-        bits = np.random.default_rng((seed, t)).permutation(BITS)[:depth]
-        for p in bits:
-            out[i] = (out[i] << 1) | ((s[:, p // 64] >> U64(p % 64)) & U64(1)).astype(np.int64)
-    return out
+def trees(depth: int, radius: int = RADIUS, recall: float = RECALL) -> int:
+    """How many trees of this depth find a pair at ``radius`` with ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - share(radius, depth)))
+
+
+@dataclass(frozen=True)
+class Level:
+    """Prefixes of one depth in all trees of a level."""
+
+    depth: int
+    bits: np.ndarray  # [trees, depth], places among the 128
+    masks: np.ndarray  # uint64 [trees, 2]
+
+    def prefixes(self, s: np.ndarray, t: int) -> np.ndarray:
+        """The prefix of each signature (uint64 [rows, 2]) in tree t."""
+        out = np.zeros(len(s), dtype=np.int64)
+        for p in self.bits[t]:
+            out = (out << 1) | ((s[:, p // 64] >> U64(p % 64)) & U64(1)).astype(np.int64)
+        return out
+
+
+def level(number: int, radius: int = RADIUS, recall: float = RECALL, depth: int | None = None, seed: int = 7) -> Level:
+    depth = depth or LEVELS[number]
+    n = trees(depth, radius, recall)
+    bits = np.array([np.random.default_rng((seed, number, t)).permutation(BITS)[:depth] for t in range(n)])
+    masks = np.zeros((n, 2), dtype=U64)
+    for t in range(n):
+        for p in bits[t]:
+            masks[t, p // 64] |= U64(1) << U64(p % 64)
+    return Level(depth, bits, masks)
 
 
 def _near(s: np.ndarray, i, j, radius: int, verify: int) -> np.ndarray:
@@ -128,108 +150,211 @@ def _near(s: np.ndarray, i, j, radius: int, verify: int) -> np.ndarray:
     return (c(s[0][i] ^ s[0][j]).astype(np.int16) + c(s[1][i] ^ s[1][j]) <= radius) & (c(s[2][i] ^ s[2][j]).astype(np.int16) + c(s[3][i] ^ s[3][j]) <= verify)
 
 
-def pairs_in(key: np.ndarray, s: np.ndarray, radius: int, verify: int, *, star: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs among rows of equal key (rows sorted by key).
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Make the labels of i and j equal: the least of what they reach."""
+    while len(i):
+        a, b = label[i], label[j]
+        differ = a != b
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _shares_earlier(s: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray, dense: np.ndarray | None) -> np.ndarray:
+    """Pairs that one of the trees ``masks`` has in one bucket; ``dense`` has a
+    bit for each tree whose bucket of the row was not compared."""
+    out = np.zeros(len(i), dtype=bool)
+    x, y = s[0][i] ^ s[0][j], s[1][i] ^ s[1][j]
+    for t, m in enumerate(masks):
+        same = ((x & m[0]) | (y & m[1])) == 0
+        if dense is not None:
+            same &= (dense[t >> 6][i] >> U64(t & 63)) & U64(1) == 0
+        out |= same
+    return out
 
-    Buckets of up to ``star`` rows give every near pair. Larger ones are
-    searched as fully, but give for each of their components the edges of one
-    spanning tree, so that copies by the thousand don't make pairs by the million.
-    """
+
+def pairs_in(key: np.ndarray, s: np.ndarray, side: np.ndarray, radius: int, verify: int, *, fold: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of the near pairs among rows of equal key (rows sorted by key).
+
+    Rows of one ``side`` (0 or 1) pair only with the other; those of side -1
+    with each other."""
     n = len(key)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, n])
-    small = np.repeat(np.where(size <= star, start + size, 0), size)
-    left, right = [], []
-    at, step = np.arange(n), 1
-    while len(at := at[at + step < small[at]]):
-        hit = at[_near(s, at, at + step, radius, verify)]
-        left.append(hit)
-        right.append(hit + step)
+    end = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count, at, step = 0, np.arange(n), 1
+    while len(at := at[at + step < end[at]]):
+        hit = at[((side[at] < 0) | (side[at] != side[at + step])) & _near(s, at, at + step, radius, verify)]
+        if len(hit):
+            held.append((hit, hit + step))
+            count += len(hit)
+            if count >= fold:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, count = [], 0
         step += 1
-    for a, m in zip(start[size > star], size[size > star]):
-        rest = np.arange(a, a + m)
-        queue: list[int] = []
-        while len(rest):
-            if queue:
-                i = queue.pop()
-            else:
-                i, rest = int(rest[0]), rest[1:]
-            near = _near(s, i, rest, radius, verify)
-            if near.any():
-                found = rest[near]
-                rest = rest[~near]
-                left.append(np.full(len(found), i))
-                right.append(found)
-                queue += found.tolist()
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def near_edges(nodes: DataFrame, depth: int, trees: range, radius: int = RADIUS, verify: int = VERIFY) -> DataFrame:
-    """(a, b): near pairs of nodes (nid, s0..s3) that share a prefix in a tree."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = np.stack([column(b, f"s{i}").view(U64) for i in range(2)], axis=1)
-            for t, p in zip(trees, prefixes(s, depth, trees)):
-                yield pa.RecordBatch.from_arrays([pa.array(p | (t << depth)), *b.columns], names=["key", *b.schema.names])
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+ROWS = "key long, side int, tree int, nid long, n long, s0 long, s1 long, s2 long, s3 long"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def compared(rows: DataFrame, levels: list[Level], radius: int, verify: int) -> DataFrame:
+    """a, b, links: for each bucket the edges of a spanning forest of its near
+    nodes (links null), and for each node its links not counted elsewhere (b null)."""
+    at_level = len(levels) - 1
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
+            key, tree, nid, n = (column(t, c) for c in ("key", "tree", "nid", "n"))
             s = np.stack([column(t, f"s{i}").view(U64) for i in range(4)])
-            nid = column(t, "nid")
-            i, j = pairs_in(column(t, "key"), s, radius, verify)
-            yield batch(a=pa.array(np.minimum(nid[i], nid[j])), b=pa.array(np.maximum(nid[i], nid[j])))
+            dense = [column(t, f"d{k}").view(U64) for k in range(-(-len(levels[0].masks) // 64))]
+            label, links = np.arange(len(key)), np.zeros(len(key), dtype=np.int64)
+            for i, j in pairs_in(key, s, column(t, "side"), radius, verify):
+                _merge(label, i, j)
+                new = np.ones(len(i), dtype=bool)
+                if at_level:
+                    new &= ~_shares_earlier(s, i, j, levels[0].masks, dense)
+                for k in np.unique(tree[i]):
+                    own = np.flatnonzero(new & (tree[i] == k))
+                    new[own[_shares_earlier(s, i[own], j[own], levels[at_level].masks[:k], None if at_level else dense)]] = False
+                np.add.at(links, i[new], n[j[new]])
+                np.add.at(links, j[new], n[i[new]])
+            edge, some = np.flatnonzero(label != np.arange(len(key))), np.flatnonzero(links)
+            none = pa.nulls(len(edge), pa.int64())
+            a, b = nid[edge], nid[label[edge]]
+            yield batch(a=pa.array(np.maximum(a, b)), b=pa.array(np.minimum(a, b)), links=none)
+            yield batch(a=pa.array(nid[some]), b=pa.nulls(len(some), pa.int64()), links=pa.array(links[some]))
+
+    return mapped(rows.repartition("key").sortWithinPartitions("key"), f, "a long, b long, links long")
+
+
+def forest(nodes: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall: float = RECALL, dense: int = DENSE, levels: list[Level] | None = None) -> DataFrame:
+    """``compared`` for all levels of the forest over nodes (nid, n, s0..s3).
+
+    The buckets of level 0 are counted; those that are too dense, of which
+    there can be no more than trees times 2^depth, go to every task as bits."""
+    first, last = levels or [level(i, radius, recall) for i in range(2)]
+    base = "nid long, n long, s0 long, s1 long, s2 long, s3 long"
+    nodes = nodes.select("nid", "n", "s0", "s1", "s2", "s3")
+    places = len(first.masks) << first.depth
+    words = -(-len(first.masks) // 64)
+
+    def signature(b: pa.RecordBatch) -> np.ndarray:
+        return np.stack([column(b, f"s{i}").view(U64) for i in range(2)], axis=1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(places, dtype=np.int64)
+        for b in batches:
+            s = signature(b)
+            for t in range(len(first.masks)):
+                total[t << first.depth : (t + 1) << first.depth] += np.bincount(first.prefixes(s, t), minlength=1 << first.depth)
+        at = np.flatnonzero(total)
+        yield batch(key=pa.array(at), size=pa.array(total[at]))
+
+    sizes = mapped(nodes, counted, "key long, size long").groupBy("key").agg(F.sum("size").alias("size"))
+    full_keys = sizes.where(F.col("size") > dense).select("key").toArrow().column("key").to_numpy()
+    state = np.zeros(places, dtype=bool)
+    state[full_keys] = True
+    state = np.packbits(state, bitorder="little")  # a bit for each bucket, 86 kB for all
+
+    def is_full(key: np.ndarray) -> np.ndarray:
+        return (state[key >> 3] >> (key & 7).astype(np.uint8)) & 1 == 1
+
+    def marked(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """The batch with a bit for each full bucket, the keys, and the bits."""
+        s = signature(b)
+        keys = np.stack([first.prefixes(s, t) + (t << first.depth) for t in range(len(first.masks))])
+        full = is_full(keys)
+        bits = np.zeros((words, len(s)), dtype=U64)
+        for t, x in enumerate(full):
+            bits[t >> 6] |= x.astype(U64) << U64(t & 63)
+        return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(K.signed(x)) for x in bits)], names=[*b.schema.names, *(f"d{k}" for k in range(words))]), keys, full
+
+    def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b, keys, full = marked(b)
+            for t, (key, off) in enumerate(zip(keys, full)):
+                on = ~off
+                k = int(on.sum())
+                x = b.filter(pa.array(on)) if k < len(on) else b
+                yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(np.full(k, -1, np.int32)), pa.array(np.full(k, t, np.int32)), *x.columns], names=["key", "side", "tree", *x.schema.names])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b, _, full = marked(b)
+            yield b.filter(pa.array(full.any(0)))
 
-    rows = mapped(nodes.select("nid", "s0", "s1", "s2", "s3"), spread, "key long, nid long, s0 long, s1 long, s2 long, s3 long")
-    return mapped(rows.repartition("key").sortWithinPartitions("key"), compare, "a long, b long").distinct()
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = signature(b)
+            for t in range(len(last.masks)):
+                key = last.prefixes(s, t) | (t << last.depth)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(s), t, np.int32)), *b.columns], names=["key", "tree", *b.schema.names])
+
+    full = ", ".join(f"d{k} long" for k in range(words))
+    found = compared(mapped(nodes, shallow, f"{ROWS}, {full}"), [first], radius, verify)
+    if not len(full_keys):
+        return found
+    crowd, _ = written(mapped(nodes, crowded, f"{base}, {full}"), "simhash-crowd")
+    rows = mapped(crowd, deep, f"key long, tree int, {base}, {full}")
+    # what is too dense here as well is cut in chunks, each pair of which is a bucket
+    over = mapped(crowd, deep, f"key long, tree int, {base}, {full}").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > dense)
+    rows = rows.join(over, "key", "left").withColumn("chunks", F.ceil(F.coalesce("size", F.lit(1)) / F.lit(dense if dense < CHUNK else CHUNK)).cast("int"))
+    rows = rows.withColumn("chunk", F.when(F.col("size").isNull(), 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int")))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    rows = rows.withColumn("side", F.when(F.col("chunk") == F.col("other"), -1).otherwise((F.col("chunk") > F.col("other")).cast("int")))
+    rows = rows.withColumn("key", F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))))
+    rows = rows.select(*(c.split()[0] for c in ROWS.split(", ")), *(f"d{k}" for k in range(words)))
+    return found.unionByName(compared(rows, [first, last], radius, verify))
 
 
 def members(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall: float = RECALL) -> tuple[DataFrame, list[str]]:
-    """doc_id, rid, first (struct of the group's first doc_id and rid), n: the
-    rows of groups of two or more; and the paths it reads."""
+    """doc_id, rid, first (struct of the group's first doc_id and rid), n,
+    links: the rows of groups of two or more; and the paths it reads."""
     sig, p1 = written(signatures(docs), "simhash")
     nodes, p2 = written(sig.groupBy("nid", "s0", "s1", "s2", "s3").agg(F.count("*").alias("n")), "simhash-nodes")
-    depth, trees = plan(nodes.count(), radius, recall)
-    found, paths = [], [p1, p2]
-    for at in range(0, trees, WAVE):
-        e, p = written(near_edges(nodes, depth, range(at, min(trees, at + WAVE)), radius, verify), "simhash-edges")
-        found.append(e)
-        paths.append(p)
-    comp, p = components(union(found), name="simhash-components")
-    for old in paths[2:]:
-        drop(docs.sparkSession, old)
+    found, p3 = written(forest(nodes, radius, verify, recall), "simhash-found")
+    comp, p = components(found.where("b is not null").select("a", "b"), name="simhash-components")
+    near = found.where("b is null").groupBy(F.col("a").alias("nid")).agg(F.sum("links").alias("links"))
     # exact copies share a node: a node without edges is a group if it has several rows
-    lone = nodes.where("n > 1").join(comp.select(F.col("node").alias("nid")), "nid", "left_anti").select("nid", F.col("nid").alias("component"))
-    label, p3 = written(comp.select(F.col("node").alias("nid"), "component").unionByName(lone), "simhash-labels")
-    rows, p4 = written(sig.select("doc_id", "rid", "nid").join(label, "nid").select("doc_id", "rid", "component"), "simhash-rows")
+    label = nodes.select("nid", "n").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").where("n > 1 or component is not null").join(near, "nid", "left")
+    label, p4 = written(label.select("nid", F.coalesce("component", "nid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "simhash-labels")
+    rows, p5 = written(sig.select("doc_id", "rid", "nid").join(label, "nid").select("doc_id", "rid", "component", "links"), "simhash-rows")
     # null ids come last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     groups = rows.groupBy("component").agg(first, F.count("*").alias("n"))
-    for old in (p1, p2, p3, *p):
+    for old in (p1, p2, p3, p4, *p):
         drop(docs.sparkSession, old)
-    return rows.join(groups.where("n > 1"), "component"), [p4]
+    return rows.join(groups.where("n > 1"), "component"), [p5]
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall: float = RECALL) -> DataFrame:
-    """doc_id, group_id, group_size: each document of a group of near copies.
+    """doc_id, group_id, group_size, n_links: each document of a group of near copies.
 
-    ``group_id`` is the least doc_id of the group, which a deduplication keeps.
+    ``group_id`` is the least doc_id of the group, which a deduplication keeps;
+    ``n_links`` the number of other documents that are near this very one.
     Texts are compared whole. Rows without a word (null, empty, punctuation)
     are in no group. Rows that repeat, with the same doc_id or another, are
     copies of each other and each has its row here. A null doc_id is the last
     in order. Other columns are ignored. An empty table gives no rows.
     """
     rows, _ = members(docs, radius, verify, recall)
-    return rows.select("doc_id", F.col("first.doc_id").alias("group_id"), F.col("n").alias("group_size"))
+    return rows.select("doc_id", F.col("first.doc_id").alias("group_id"), F.col("n").alias("group_size"), F.col("links").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns kept.
 
     The row with the least doc_id stays; rows equal in doc_id and text stay
-    once. Rows without a word stay.
+    once. Rows without a word stay. An empty table stays empty. Very long
+    texts are compared whole.
     """
     rows, _ = members(docs)
-    extra = rows.where((F.col("rid") != F.col("first.rid")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("rid").alias("__rid"), F.lit(1).alias("__extra")).distinct()
-    have = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return have.join(extra, "__rid", "left_anti").dropDuplicates(["__rid"]).select(*docs.columns)
+    extra = rows.where((F.col("rid") != F.col("first.rid")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("rid").alias("__rid"), F.col("doc_id").alias("__id")).distinct()
+    id_ = F.col("doc_id").cast("long")
+    # 128 bits and the id itself: no two different rows count as one by chance
+    have = docs.withColumns({"__rid": F.xxhash64(id_, F.col("text")), "__id": id_, "__rid2": F.xxhash64(F.lit("again"), F.col("text"))})
+    gone = (have["__rid"] == extra["__rid"]) & have["__id"].eqNullSafe(extra["__id"])
+    return have.join(extra, gone, "left_anti").dropDuplicates(["__rid", "__rid2", "__id"]).select(*docs.columns)
