@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomtext.functions.markup import Tags
 from loomtext.operators.frames import mapped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 _ENDS_P = frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("ul", "ol"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:\-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:\-]*)|[^<]+|<", re.S)
+_OPEN = re.compile(r"[^<]+|<")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -95,15 +97,22 @@ def parse(html: str | None) -> Node:
     root = Node("#document")
     open_: list[Node] = [root]
     at, html = 0, html or ""
+    tags = Tags(html)
 
     def add(n: Node) -> None:
         n.parent = open_[-1]
         open_[-1].children.append(n)
 
     while at < len(html):
-        m = _TAG.match(html, at)
-        at = m.end()
-        name = m[2]
+        # behind the last > there is text and perhaps a comment left open
+        m = (_TAG if at <= tags.last or html.startswith("<!--", at) else _OPEN).match(html, at)
+        name, inside = m[2] if m.re is _TAG else None, ""
+        if name is not None:
+            stop = tags.end(m.end())
+            inside = html[m.end() : stop - 1]
+            at = stop
+        else:
+            at = m.end()
         if name is None:
             if m[0][:2] not in ("<!", "<?"):
                 add(Node("#text", text=m[0]))
@@ -120,7 +129,7 @@ def parse(html: str | None) -> Node:
         if name in _SAME:
             _close(open_, name, _SAME[name])
         attrs: dict[str, str] = {}
-        for a in _ATTR.finditer(m[3].rstrip("/")):
+        for a in _ATTR.finditer(inside.rstrip("/")):
             attrs.setdefault(a[1].lower(), next((g for g in a.groups()[1:] if g is not None), ""))
         n = Node(name, attrs)
         add(n)
@@ -130,7 +139,7 @@ def parse(html: str | None) -> Node:
             if raw:
                 n.children.append(Node("#text", parent=n, text=raw))
             at = end.end() if end else len(html)
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not inside.endswith("/"):
             open_.append(n)
     _number(root)
     return root
