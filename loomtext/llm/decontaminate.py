@@ -6,9 +6,11 @@ has the same windows in both, hence a common fingerprint; hits are extended
 word by word to the whole shared span. So each shared span of that length is
 found, whatever its place.
 
-The benchmark goes to the executors in parts of at most ``PART_BYTES`` of
-text, one pass over the documents for each: small benchmarks take one pass,
-large ones stay bounded in memory.
+The fingerprints of documents and benchmark are joined by hash. A benchmark of
+up to ``PART_BYTES`` of text, as measured, goes to the executors whole, so that
+the join and the extension take one scan of the documents. A larger one is
+joined by a shuffle on the hash; the documents and items that meet are then
+brought together for the extension. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import kernel as K
-from loomtext.llm.common import mapped, text_column, union
+from loomtext.llm.common import column, mapped, rid, text_column
 
 GRAM, WINDOW, PART_BYTES = 8, 6, 32 << 20
 SCHEMA = "doc_id long, item_id long, start_char long, end_char long, n_words long, item_words long"
@@ -31,7 +33,7 @@ SCHEMA = "doc_id long, item_id long, start_char long, end_char long, n_words lon
 
 @dataclass
 class Index:
-    """Words and sorted fingerprints of one part of the benchmark."""
+    """Words and sorted fingerprints of benchmark items."""
 
     item: pa.Array
     words: np.ndarray
@@ -41,15 +43,20 @@ class Index:
     item_of: np.ndarray
 
 
-def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[Index]:
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // part_bytes)
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-        t = part.orderBy("item_id", "text").toArrow().combine_chunks()
-        if t.num_rows:
-            yield index(t.column(0).combine_chunks(), t.column(1).combine_chunks())
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
+
+
+def small(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Index | None:
+    """The whole benchmark as an index, if its texts are within ``part_bytes``."""
+    items = _items(benchmark)
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    # ids and places count as well
+    if (size or 0) + 64 * n > part_bytes:
+        return None
+    t = items.orderBy("item_id", "text").toArrow().combine_chunks()
+    ids, texts = (t.column(k).combine_chunks() if t.num_rows else pa.array([], k_) for k, k_ in ((0, pa.int64()), (1, pa.string())))
+    return index(ids, texts)
 
 
 def index(ids: pa.Array, texts: pa.Array, gram: int = GRAM, window: int = WINDOW) -> Index:
@@ -94,44 +101,91 @@ def spans(texts: pa.Array, ix: Index, gram: int = GRAM, window: int = WINDOW) ->
             yield a + d, item, int(chars[w.start[s]] - o), int(chars[w.end[s + length - 1]] - o), length, int(ix.first[item + 1] - ix.first[item])
 
 
+def _rows(found: list[tuple], doc_id: pa.Array, item: pa.Array) -> pa.RecordBatch:
+    c = list(zip(*found)) if found else [[]] * 6
+    take = lambda ids, at: pc.take(ids, pa.array(at, pa.int64())).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([take(doc_id, c[0]), take(item, c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], names=["doc_id", "item_id", "start_char", "end_char", "n_words", "item_words"])
+
+
+def fingerprints(texts: DataFrame, name: str) -> DataFrame:
+    """key, and the id ``name`` of each text (columns id and text) that keeps it."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, ids = text_column(b), column(b, name)
+            for lo, hi in K.slices(t):
+                w = K.words(t.slice(lo, hi - lo))
+                at, h = K.winnow(w, GRAM, WINDOW)
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[new])), pa.array(ids[lo + doc[new]])], names=["key", name])
+
+    return mapped(texts.select(name, "text"), f, f"key long, {name} long")
+
+
+def joined(d: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated`` by a join of fingerprints; ``d`` has rid, doc_id and text."""
+    items = _items(benchmark).withColumn("iid", F.xxhash64("item_id", "text"))
+    once = d.groupBy("rid", "doc_id", "text").agg(F.count("*").alias("times"))
+    met = fingerprints(once, "rid").join(fingerprints(items, "iid"), "key").select("rid", "iid").distinct()
+    pairs = met.join(items.select("iid", "item_id", F.col("text").alias("item")), "iid").join(once, "rid")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, times = column(b, "rid"), column(b, "times")
+            cut = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]) if len(rid) else np.zeros(0, np.int64)
+            for lo, hi in zip(cut, np.r_[cut[1:], len(rid)]):
+                ids = b.column(b.schema.get_field_index("item_id")).slice(lo, hi - lo)
+                found = list(spans(text_column(b).slice(lo, 1), index(ids, text_column(b, "item").slice(lo, hi - lo))))
+                yield _rows(found * int(times[lo]), text_column(b, "doc_id").slice(lo, 1), ids)
+
+    return mapped(pairs.select("rid", "doc_id", "text", "times", "item_id", "item").sortWithinPartitions("rid"), f, SCHEMA)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, item_id, start_char, end_char, n_words, item_words: every
     maximal span of 13 words or more that a document shares with an item.
 
-    Words are compared lower-cased and without punctuation. Null or empty
-    texts, and items under 13 words, share nothing. Null ids are passed on.
-    A document row that repeats has its rows each time; an item that repeats
-    whole counts once. Several items with the same span each give a row.
-    Other columns are ignored; empty tables give no rows.
+    Words are compared lower-cased and without punctuation, texts whole. Null
+    or empty texts, and items under 13 words, share nothing. Null ids are
+    passed on. A document row that repeats has its rows each time; an item that
+    repeats whole counts once. Several items with the same span each give a
+    row. Other columns are ignored; empty tables give no rows.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    ix = small(benchmark, part_bytes)
+    if ix is None:
+        return joined(d.withColumn("rid", rid()), benchmark)
 
-    def scan(ix: Index):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = list(spans(text_column(b), ix))
-                c = list(zip(*rows)) if rows else [[]] * 6
-                take = lambda ids, at: pc.take(ids, pa.array(at, pa.int64())).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([take(b.column(0), c[0]), take(ix.item, c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], names=["doc_id", "item_id", "start_char", "end_char", "n_words", "item_words"])
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows(list(spans(text_column(b), ix)), b.column(0), ix.item)
 
-        return mapped(d, f, SCHEMA)
-
-    found = [scan(ix) for ix in parts(benchmark, part_bytes)]
-    return union(found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+    return mapped(d, f, SCHEMA)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` without the rows that share a span with the benchmark; null texts stay."""
-
-    def clean(df: DataFrame, ix: Index) -> DataFrame:
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, dtype=bool)
-                keep[[r[0] for r in spans(text_column(b), ix)]] = False
-                yield b.filter(pa.array(keep))
+    """``docs`` without the rows that share a span with the benchmark.
 
-        return mapped(df, f, df.schema)
-
-    for ix in parts(benchmark, part_bytes):
-        docs = clean(docs, ix)
-    return docs
+    Null and empty texts stay, rows that repeat stay or go together, all
+    columns are kept. An empty table stays empty, an empty benchmark leaves
+    all rows.
+    """
+    ix = small(benchmark, part_bytes)
+    if ix is None:
+        # ids of the texts themselves: 128 bits tell them apart
+        have = docs.withColumns({"__a": F.xxhash64(F.col("text").cast("string")), "__b": F.xxhash64(F.lit("again"), F.col("text").cast("string"))})
+        texts = have.where("text is not null").select(F.col("__a").alias("doc_id"), F.col("__b").alias("rid"), F.col("text").cast("string").alias("text")).distinct()
+        bad = joined(texts, benchmark).select(F.col("doc_id").alias("__a")).distinct()
+        bad = texts.select(F.col("doc_id").alias("__a"), F.col("rid").alias("__b")).join(bad, "__a")
+        return have.join(bad, ["__a", "__b"], "left_anti").select(*docs.columns)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            keep[[r[0] for r in spans(text_column(b), ix)]] = False
+            yield b.filter(pa.array(keep))
+
+    return mapped(docs, f, docs.schema)

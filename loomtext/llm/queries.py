@@ -76,13 +76,14 @@ r AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY h) AS
 b AS (SELECT row_no, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row_no ORDER BY i) + {_SPAN} THEN 0 ELSE 1 END AS opens FROM r),
 p AS (SELECT row_no, min(i) AS a, max(i) + {_SPAN} AS z FROM (SELECT row_no, i, sum(opens) OVER (PARTITION BY row_no ORDER BY i) AS part FROM b) GROUP BY row_no, part)
 SELECT doc_id, ss[a + 1] AS start_char, es[z] AS end_char, a AS start_word, z - a AS n_words FROM p JOIN d USING (row_no)""",
-    # pairs of equal words on one diagonal, in runs of 13 or more
+    # equal runs of 13 words, joined where they follow each other in both texts
     "op2_decontaminate": f"""WITH w AS MATERIALIZED ({_words('documents', 'doc_id')}), v AS MATERIALIZED ({_words('benchmark', 'item_id')}),
-w3 AS (SELECT *, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS g FROM w WINDOW x AS (PARTITION BY row_no ORDER BY i)),
-v3 AS (SELECT *, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS g FROM v WINDOW x AS (PARTITION BY row_no ORDER BY i)),
-m AS (SELECT w3.row_no AS r, v3.row_no AS q, w3.i, w3.i - v3.i AS diagonal FROM w3 JOIN v3 USING (g)),
+wl AS (SELECT row_no, list(word ORDER BY i) AS ws FROM w GROUP BY row_no), vl AS (SELECT row_no, list(word ORDER BY i) AS ws FROM v GROUP BY row_no),
+wg AS MATERIALIZED (SELECT row_no AS r, i, md5(array_to_string(ws[i + 1 : i + {_LEAK}], ' ')) AS g FROM (SELECT row_no, ws, unnest(range(0, len(ws) - {_LEAK - 1})) AS i FROM wl WHERE len(ws) >= {_LEAK})),
+vg AS MATERIALIZED (SELECT row_no AS q, i AS j, md5(array_to_string(ws[i + 1 : i + {_LEAK}], ' ')) AS g FROM (SELECT row_no, ws, unnest(range(0, len(ws) - {_LEAK - 1})) AS i FROM vl WHERE len(ws) >= {_LEAK})),
+m AS (SELECT r, q, i, i - j AS diagonal FROM wg JOIN vg USING (g)),
 b AS (SELECT *, i - row_number() OVER (PARTITION BY r, q, diagonal ORDER BY i) AS part FROM m),
-p AS (SELECT r, q, min(i) AS a, max(i) + 2 AS z FROM b GROUP BY r, q, diagonal, part HAVING count(*) >= {_LEAK - 2})
+p AS (SELECT r, q, min(i) AS a, max(i) + {_LEAK - 1} AS z FROM b GROUP BY r, q, diagonal, part)
 SELECT x.doc_id, item_id, x.s AS start_char, y.e AS end_char, z - a + 1 AS n_words, item_words FROM p JOIN w x ON x.row_no = r AND x.i = a JOIN w y ON y.row_no = r AND y.i = z
 JOIN (SELECT row_no, item_id, count(*) AS item_words FROM v GROUP BY ALL) n ON n.row_no = q""",
 }

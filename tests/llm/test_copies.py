@@ -238,8 +238,20 @@ def test_leaks_equal_brute_force(spark, rows):
     for r in got:
         if r.doc_id in texts and r.doc_id is not None:
             assert len(tokens(texts[r.doc_id][r.start_char : r.end_char])) == r.n_words
-    kept = {r.doc_id for r in decontaminate.decontaminated(docs, bench, 200).select("doc_id").collect()}
-    assert kept == {d for d, *_ in [*rows, (900,)]} - {d for d, *_ in want}
+    for part in (32 << 20, 200):
+        kept = decontaminate.decontaminated(docs.withColumn("rid", F.lit("x")).withColumn("key", F.lit(2)), bench, part)
+        assert kept.columns == [*docs.columns, "rid", "key"]
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_ in [*rows, (900,)] if d not in {x for x, *_ in want})
+
+
+def test_leaks_in_very_long_texts(spark):
+    words = [f"w{i}" for i in range(200000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (2, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words[150000:150040])), (8, " ".join(words[199990:]))], "item_id long, text string")
+    for part in (32 << 20, 10):
+        got = decontaminate.contaminated(docs, bench, part).collect()
+        assert [(r.doc_id, r.item_id, r.n_words, r.item_words) for r in got] == [(1, 7, 40, 40)]
+        assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench, part).collect()) == [2, 2]
 
 
 def test_empty_tables(spark):
@@ -248,4 +260,6 @@ def test_empty_tables(spark):
     assert suffixes.repeated_passages(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.deduplicated(none).count() == 0
-    assert decontaminate.contaminated(none, bench).count() == 0
+    one = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for b, part in ((bench, 32 << 20), (one, 0)):
+        assert decontaminate.contaminated(none, b, part).count() == decontaminate.decontaminated(none, b, part).count() == 0
