@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from loomtext.runtime import drop, written
 
 
-def components(edges: DataFrame, *, name: str = "components", rounds: int = 60) -> tuple[DataFrame, list[str]]:
+def components(edges: DataFrame, *, name: str = "components", rounds: int = 200) -> tuple[DataFrame, list[str]]:
     """(node, component): every node of an edge and the least node it reaches.
 
     ``edges`` has bigint columns a and b. Each round links the larger
     neighbours of a node to the least one (large star), then the smaller ones
     (small star); minima come from window aggregates, which spill, so a hub
     needs no memory of its own. Rounds are written to the shared folder and
-    their number grows with the logarithm of the diameter. Also returns the
-    paths that the result still reads.
+    their number grows with the logarithm of the diameter; should ``rounds`` not
+    do, an error says so. Also returns the paths that the result still reads.
     """
     e, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = _state(e)
@@ -34,6 +34,8 @@ def components(edges: DataFrame, *, name: str = "components", rounds: int = 60)
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components: no fixed point in {rounds} rounds")
     # a fixed point is a forest of stars: each node has one edge, to its root
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), [path]

@@ -9,7 +9,8 @@ a chain of Spark conditional expressions over feature columns.
 One feature counts words that the labels themselves single out: words found in
 many toxic and hardly any other labelled documents.
 
-At most ``TRAIN_ROWS`` labelled rows are used, drawn by a hash of doc_id.
+About ``TRAIN_ROWS`` labelled rows are used, drawn by a hash of doc_id: each by
+itself, so their number varies by some square root of it.
 """
 
 from __future__ import annotations
@@ -154,11 +155,12 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
     return rules
 
 
-def marked_words(sample: DataFrame, least: int = 5, share: float = 0.9, most: int = 500) -> np.ndarray:
+def marked_words(sample: DataFrame, least: int = 5, share: float = 0.9) -> np.ndarray:
     """Sorted hashes of words that single out toxic rows of the sample.
 
     ``sample`` has text and toxic; a word counts once for each row. It has to be in
-    ``least`` toxic rows that make up ``share`` of all rows with it."""
+    ``least`` toxic rows that make up ``share`` of all rows with it. All such words
+    count; the sample bounds how many there can be."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +175,7 @@ def marked_words(sample: DataFrame, least: int = 5, share: float = 0.9, most: in
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(word)), pa.array(np.bincount(at, minlength=len(word))), pa.array(np.bincount(at[toxic[lo + d[new]]], minlength=len(word)))], names=["word", "n", "toxic"])
 
     rows = mapped(sample.select("text", "toxic"), f, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    got = rows.where((F.col("toxic") >= least) & (F.col("toxic") >= share * F.col("n"))).orderBy(F.desc("toxic"), "word").limit(most).toArrow()
+    got = rows.where((F.col("toxic") >= least) & (F.col("toxic") >= share * F.col("n"))).select("word").toArrow()
     return np.sort(got.column("word").to_numpy().view(np.uint64))
 
 
