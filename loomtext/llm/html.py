@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.markup import Tags
 from loomtext.llm.common import mapped, text_column
 
 _A_TITLE = r"<title\b[^>]*>(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*)"
@@ -31,7 +32,8 @@ _HEAD = (
     r"|<(?:base|basefont|bgsound|link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</(?!(?:head|body|html|br)\b)[a-z][^>]*>"
     r"|<(?:!--|(?:script|style|noscript|template|noframes)\b).*?(?=</head\s*>))*+(?:</head\s*>)?"
 )
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|{_HEAD}|{_A_TITLE}|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|{_HEAD}|{_A_TITLE}|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)|[^<]+|<", re.S | re.I)
+_OPEN = re.compile(r"[^<]+|<")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 
@@ -60,8 +62,12 @@ def blocks(page: str) -> list[Block]:
         text.clear()
         words = linked = 0
 
-    for m in _TOKEN.finditer(page):
-        name = m[3]
+    at, tags = 0, Tags(page)
+    while at < len(page):
+        # behind the last > there is text and perhaps a comment left open
+        m = (_TOKEN if at <= tags.last or page.startswith("<!--", at) else _OPEN).match(page, at)
+        name = m[3] if m.re is _TOKEN else None
+        at = m.end() if name is None else tags.end(m.end())
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
@@ -174,7 +180,8 @@ def main_text(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     ``text`` has the main blocks, one a line, entities decoded. A null page has
     null text and title and no blocks; an empty one, or one without main text,
     an empty text. Markup may be broken: an open comment or script reaches to
-    the end, a stray < is text. Rows that repeat are each read; other columns
+    the end, a stray < is text; the time is linear in the page whatever is left
+    open. Rows that repeat are each read; other columns
     are ignored.
     """
     tree = tree or trained()
