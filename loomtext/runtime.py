@@ -38,6 +38,8 @@ def scratch(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             base = Path(tempfile.mkdtemp(prefix="loomtext-shared-")).as_uri()
         _ROOTS[app] = (spark, f"{base.rstrip('/')}/loomtext-{app}")
@@ -57,6 +59,38 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system; None where there is none."""
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str, ending: str = "") -> list[str]:
+    """The files of a folder with that ending, sorted; none where it isn't there."""
+    fs, p = _filesystem(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if n.endswith(ending))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small new file: it is there whole or not at all."""
+    fs, p = _filesystem(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.rename(new, p):
+        raise OSError(f"can't write {path}")
+
+
 def _drop_root(app: str) -> None:
     spark, root = _ROOTS.pop(app)
     try:
