@@ -3,8 +3,10 @@
 The arrays are sparse: of all word suffixes they hold those that start at a
 winnowed position, which a repeated passage has at the same place in each of
 its copies, so every passage of ``SPAN`` words keeps at least one suffix. Words
-rank by their hashes, so a suffix's leading ``SEED`` words order it by one
-64-bit key.
+rank by their hashes, and a suffix's leading ``SEED`` words are one 64-bit key.
+Suffixes that agree in the key agree in SEED words or more; how far they agree
+beyond, on both sides, the extension below finds from the texts, for the few
+that are tied. No prefix lengths are stored.
 
 ``SuffixFamily`` takes batches. A batch's array is merge-scanned against every
 level at hand: suffixes that share their leading words are long matches, and
@@ -15,6 +17,10 @@ tables bucketed and sorted by key: scans and merges need no shuffle. A key that
 already has two occurrences stays as one entry, so that a passage of a million
 copies costs the levels one row.
 
+A family lives in a folder, with a manifest of its levels and of the batches'
+documents and matches: a later session opens it, ``append``s further batches
+and asks for ``passages``.
+
 Matches are then extended in both directions. Every window of SPAN words
 belongs to its least seed; windows of matched seeds are compared by their
 hashes within the seed, and the equal ones are joined to maximal passages.
@@ -22,6 +28,7 @@ hashes within the seed, and the equal ones are joined to maximal passages.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,9 +39,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import kernel as K
 from loomtext.llm.common import column, keyed, mapped, text_column, union
-from loomtext.runtime import drop, scratch, written
+from loomtext.runtime import drop, names, read_text, scratch, write_text, written
 
 SPAN, SEED, BATCHES = 50, 25, 4
+PASSAGES = "doc_id long, start_char long, end_char long, start_word long, n_words long"
 
 
 def seeds(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
@@ -53,27 +61,84 @@ def seeds(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
 
 
 class SuffixFamily:
-    """Levels of suffix arrays; ``add`` returns the matches a batch brings."""
+    """Levels of suffix arrays; ``add`` returns the matches a batch brings.
+
+    Without a folder the family is of this session and goes with ``close``.
+    With one, which all executors have to reach, ``append`` keeps documents,
+    matches and a manifest there, and ``close`` leaves them.
+    """
 
-    def __init__(self, spark: SparkSession, span: int = SPAN, seed: int = SEED):
-        self.spark, self.span, self.seed = spark, span, seed
+    def __init__(self, spark: SparkSession, span: int = SPAN, seed: int = SEED, folder: str | None = None):
+        self.spark, self.span, self.seed, self.folder = spark, span, seed, folder
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, str, str]] = []  # rank, table, path; by falling rank
+        self.batches: list[str] = []
+        self.root = folder or scratch(spark)
+        # a manifest for each state, the newest counts
+        known = names(spark, f"{folder}/manifests", ".json") if folder else []
+        if known:
+            m = json.loads(read_text(spark, f"{folder}/manifests/{known[-1]}") or "")
+            if (m["span"], m["seed"]) != (span, seed):
+                raise ValueError(f"{folder} has spans of {m['span']} words and seeds of {m['seed']}")
+            self.buckets, self.batches = m["buckets"], m["batches"]
+            self.levels = [(rank, self._opened(path), f"{folder}/{path}") for rank, path in m["levels"]]
+
+    def _opened(self, name: str) -> str:
+        """A level written by another session, as a table of this one."""
+        own = f"{name}_{uuid.uuid4().hex[:6]}"
+        self.spark.sql(f"CREATE TABLE {own} (key BIGINT, rid BIGINT, pos INT, n INT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+        return own
 
     def _store(self, df: DataFrame, kind: str) -> tuple[str, str]:
         name = f"suffix_{kind}_{uuid.uuid4().hex[:12]}"
-        path = f"{scratch(self.spark)}/{name}"
-        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        path = f"{self.root}/{name}"
+        try:
+            df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        except BaseException:
+            self._drop(name, path)
+            raise
         return name, path
 
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop(self.spark, path)
 
-    def add(self, docs: DataFrame, *, last: bool = False) -> tuple[DataFrame, str]:
+    def append(self, docs: DataFrame) -> None:
+        """Add a batch (doc_id, text) to a family with a folder. Documents that
+        it has already, by id and text, are left out. Should this fail, the
+        family in the folder stays what it was."""
+        if not self.folder:
+            raise ValueError("a family without a folder keeps no batches")
+        docs = keyed(docs).dropDuplicates(["rid"])
+        if self.batches:
+            docs = docs.join(self._kept("docs").select("rid"), "rid", "left_anti").select(docs.columns)
+        name = f"batch-{uuid.uuid4().hex[:12]}"
+        docs.write.option("compression", "zstd").parquet(f"{self.folder}/{name}/docs")
+        gone: list[tuple[str, str]] = []
+        hits, path = self.add(self.spark.read.parquet(f"{self.folder}/{name}/docs"), gone=gone)
+        hits.write.option("compression", "zstd").parquet(f"{self.folder}/{name}/hits")
+        drop(self.spark, path)
+        self.batches.append(name)
+        levels = [(rank, path.rsplit("/", 1)[1]) for rank, _, path in self.levels]
+        write_text(self.spark, f"{self.folder}/manifests/{len(self.batches):08d}.json", json.dumps({"span": self.span, "seed": self.seed, "buckets": self.buckets, "batches": self.batches, "levels": levels}))
+        # only now does nothing name them any more
+        for table, path in gone:
+            self._drop(table, path)
+
+    def _kept(self, what: str) -> DataFrame:
+        return union([self.spark.read.parquet(f"{self.folder}/{b}/{what}") for b in self.batches])
+
+    def passages(self) -> DataFrame:
+        """As ``repeated_passages``, over all batches so far."""
+        if not self.batches:
+            return self.spark.createDataFrame([], PASSAGES)
+        return _extended(self._kept("docs"), self._kept("hits"), self.span, self.seed)
+
+    def add(self, docs: DataFrame, *, last: bool = False, gone: list[tuple[str, str]] | None = None) -> tuple[DataFrame, str]:
         """rid, pos of the occurrences that now have a partner: those of the
         batch and the single ones of the levels that the batch meets. ``docs``
-        has rid and text; ``last`` leaves the levels as they are."""
+        has rid and text; ``last`` leaves the levels as they are. Merged levels
+        are dropped, or with ``gone`` put there for the caller to drop."""
         array = seeds(docs, self.span, self.seed).repartition(self.buckets, "key").distinct()
         # each scan and merge is a join of two bucketed tables, which needs no
         # shuffle (a union of them would either, or be wrong: see the README)
@@ -90,7 +155,11 @@ class SuffixFamily:
             level = new.groupBy("key").agg(F.min(F.struct("rid", "pos")).alias("o"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
             carry = (0, *self._store(level.select("key", "o.rid", "o.pos", "n"), "level"))
             while self.levels and self.levels[-1][0] == carry[0]:
-                carry = self._merged(self.levels.pop(), carry)
+                old = self.levels.pop()
+                merged = self._merged(old, carry)
+                for _, t, p in (old, carry):
+                    self._drop(t, p) if gone is None else gone.append((t, p))
+                carry = merged
             self.levels.append(carry)
         self._drop(name, path)
         return hits
@@ -101,14 +170,15 @@ class SuffixFamily:
         both = F.col("a.n").isNotNull() & F.col("b.n").isNotNull()
         n = F.when(both, 2).otherwise(F.coalesce("a.n", "b.n")).alias("n")
         m = a.join(b, F.col("a.key") == F.col("b.key"), "full").select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "rid", "pos")), n)
-        out = (x[0] + 1, *self._store(m, "level"))
-        for _, t, p in (x, y):
-            self._drop(t, p)
-        return out
+        return (x[0] + 1, *self._store(m, "level"))
 
     def close(self) -> None:
+        """Forget the tables; without a folder the levels go as well."""
         for _, t, p in self.levels:
-            self._drop(t, p)
+            if self.folder:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            else:
+                self._drop(t, p)
         self.levels = []
 
 
@@ -177,7 +247,7 @@ def passages(matched: DataFrame, runs: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), *(pa.array(x.astype(np.int64)) for x in c[1:])], names=["doc_id", "start_char", "end_char", "start_word", "n_words"])
 
     joined = matched.select("doc_id", "rid", "text").join(runs, "rid").select("doc_id", "text", "runs")
-    return mapped(joined, f, "doc_id long, start_char long, end_char long, start_word long, n_words long")
+    return mapped(joined, f, PASSAGES)
 
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
@@ -188,7 +258,8 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, batch
     Words are compared lower-cased, without punctuation. Null and empty texts
     and texts under ``span`` words have no passage. Rows equal in doc_id and
     text are one document; equal texts under different ids (or none) repeat
-    each other whole. Other columns are ignored; an empty table gives no rows.
+    each other whole; very long texts are read whole. Other columns are ignored;
+    an empty table gives no rows.
     A window of ``span`` words holds at most 63 seeds' places: span - seed < 63.
     """
     if not 0 < span - seed < 63:
@@ -196,12 +267,19 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, seed: int = SEED, batch
     spark = docs.sparkSession
     docs = keyed(docs)
     family = SuffixFamily(spark, span, seed)
-    hits = [family.add(docs.where(F.pmod("rid", F.lit(batches)) == i), last=i == batches - 1) for i in range(batches)]
-    family.close()
-    by_doc = union([h for h, _ in hits]).groupBy("rid").agg(F.collect_set("pos").alias("pos"))
-    matched, p1 = written(docs.join(by_doc, "rid").dropDuplicates(["rid"]), "suffix-matched")
-    for _, p in hits:
-        drop(spark, p)
+    try:
+        hits = [family.add(docs.where(F.pmod("rid", F.lit(batches)) == i), last=i == batches - 1) for i in range(batches)]
+    finally:
+        family.close()
+    return _extended(docs, union([h for h, _ in hits]), span, seed, [p for _, p in hits])
+
+
+def _extended(docs: DataFrame, hits: DataFrame, span: int, seed: int, done: list[str] | None = None) -> DataFrame:
+    """The passages of keyed documents around the matched seeds (rid, pos)."""
+    by_doc = hits.groupBy("rid").agg(F.collect_set("pos").alias("pos"))
+    matched, _ = written(docs.join(by_doc, "rid").dropDuplicates(["rid", "doc_id", "text"]), "suffix-matched")
+    for p in done or []:
+        drop(docs.sparkSession, p)
     each = windows(matched, span, seed).repartition("key").select("key", "rid", "start", F.posexplode("wins").alias("i", "win"))
     same = each.withColumn("n", F.count("*").over(Window.partitionBy("key", "win"))).where("n > 1")
     run = same.groupBy("key", "rid", "start").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))

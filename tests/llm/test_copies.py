@@ -95,6 +95,33 @@ def test_levels_merge_like_a_binary_counter(spark, docs):
     assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
 
 
+def test_a_family_goes_on_in_a_later_call(spark, docs, tmp_path):
+    """Three batches, each by a family opened anew, give what one call gives."""
+    folder = (tmp_path / "family").as_uri()
+    parts = [docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)) == i) for i in range(3)]
+    ranks = []
+    for part in [*parts, parts[0]]:
+        family = suffixes.SuffixFamily(spark, folder=folder)
+        family.append(part)
+        ranks.append([r for r, _, _ in family.levels])
+        family.close()
+    family = suffixes.SuffixFamily(spark, folder=folder)
+    got = family.passages().collect()
+    family.close()
+    assert ranks == [[0], [1], [1, 0], [2]]
+    assert sorted(map(str, got)) == sorted(map(str, suffixes.repeated_passages(docs).collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_")]
+    with pytest.raises(ValueError):
+        suffixes.SuffixFamily(spark, span=60, folder=folder)
+
+
+def test_passages_in_very_long_texts(spark):
+    words = [f"w{i}" for i in range(150000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[120000:120070])), (3, " ".join(words[:49]))]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in got) == [(1, 120000, 70), (2, 0, 70)]
+
+
 def test_near_pairs_recall_and_groups(spark, docs, rows):
     have = [(d, t) for d, t, *_ in rows if tokens(t)]
     s, _ = simhash.simhashes(pa.array([t for _, t in have]))
