@@ -70,3 +70,32 @@ def test_long_text_and_edges(spark, model):
     kept = langid.identified(df, model)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
     assert langid.languages(df.limit(0)).count() == 0
+
+
+def test_scripts_without_a_trained_language(spark, model):
+    texts = {"bn": "আমি বাংলায় গান গাই", "ta": "தமிழ் மொழி ஒரு செம்மொழி", "hy": "Բարեւ աշխարհ լավ օր", "ka": "გამარჯობა მსოფლიო კარგი", "el": "καλημέρα κόσμε", "he": "שלום עולם", "ar": "مرحبا بالعالم", "hi": "नमस्ते दुनिया", "th": "สวัสดี ชาวโลก", "ko": "안녕 세상", "ja": "これは日本語です", "zh": "中文文字", "und": "ᚠᚢᚦᚨᚱᚲ ᚠᚢᚦ"}
+    rows = [(i, x, t) for i, (x, t) in enumerate(texts.items())] + [(90, "mix", f"{text('en', 8, 3)} {texts['bn']} {text('en', 8, 4)}"), (91, "zh", "𠀀𠀁 中文")]
+    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, "doc_id long, want string, text string"), model).collect()}
+    for i, want, _ in rows[:13]:
+        assert (got[i].lang, got[i].keep) == (want, want != "und"), want
+    assert [s.lang for s in got[90].spans] == ["en", "bn", "en"] and got[91].lang == "zh"
+
+
+def test_trained_languages_share_a_script(spark):
+    seeds = {"ru": "это что как все она так его только было ещё", "uk": "це що як усі вона так його тільки було ще їх є", "en": SEEDS["en"]}
+    rnd = random.Random(3)
+    make = lambda x, n: " ".join(rnd.choices(seeds[x].split(), k=n))
+    m = langid.train(spark.createDataFrame([(i, make(x, 50), x) for i in range(30) for x in seeds], "doc_id long, text string, lang string"))
+    assert m.names().count("ru") == 1
+    rows = [(1, make("ru", 20)), (2, make("uk", 20)), (3, f"{make('ru', 15)} {make('uk', 15)} {make('en', 15)}")]
+    got = [[s.lang for s in r.spans] for r in sorted(langid.languages(spark.createDataFrame(rows, "doc_id long, text string"), m).collect())]
+    assert got == [["ru"], ["uk"], ["ru", "uk", "en"]]
+
+
+def test_ties_repeats_and_empty_tables(spark, model):
+    rows = [(1, "12 34", "x"), (1, "12 34", "x"), (2, None, "x"), (3, "", "x"), (None, text("de", 9, 1), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = langid.languages(docs, model).collect()
+    assert [(r.lang, r.share, r.keep, r.spans) for r in sorted(got, key=str)[:2]] == [("und", 0.0, False, [])] * 2 and len(got) == 5
+    assert [r.doc_id for r in langid.identified(docs, model).collect()] == [None]
+    assert langid.languages(docs.limit(0), model).count() == langid.identified(docs.limit(0), model).count() == 0
