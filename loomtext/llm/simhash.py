@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import kernel as K
@@ -95,16 +95,22 @@ def simhashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(words)) if out else (np.zeros((0, 4), U64), np.zeros(0, np.int64))
 
 
+def _again(text: str) -> Column:
+    """With rid, which hashes text and doc_id, 128 bits that identify a row."""
+    return F.xxhash64(F.lit("again"), F.col(text))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, nid and the signature s0..s3 of rows with a word."""
+    """doc_id, rid, rid2, nid and the signature s0..s3 of rows with a word."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s, n = simhashes(text_column(b))
             keep = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(K.signed(np.ascontiguousarray(s[:, i]))) for i in range(4))], names=["doc_id", "rid", "s0", "s1", "s2", "s3"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(K.signed(np.ascontiguousarray(s[:, i]))) for i in range(4))], names=["doc_id", "rid", "rid2", "s0", "s1", "s2", "s3"]).filter(keep)
 
-    sig = mapped(keyed(docs), f, "doc_id long, rid long, s0 long, s1 long, s2 long, s3 long")
+    d = keyed(docs).select("doc_id", "rid", _again("text").alias("rid2"), "text")
+    sig = mapped(d, f, "doc_id long, rid long, rid2 long, s0 long, s1 long, s2 long, s3 long")
     return sig.withColumn("nid", F.xxhash64("s0", "s1", "s2", "s3"))
 
 
@@ -311,8 +317,8 @@ def forest(nodes: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall:
 
 
 def members(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall: float = RECALL) -> tuple[DataFrame, list[str]]:
-    """doc_id, rid, first (struct of the group's first doc_id and rid), n,
-    links: the rows of groups of two or more; and the paths it reads."""
+    """doc_id, rid, rid2, first (struct of these of the group's first), n, links:
+    the rows of groups of two or more; and the paths it reads."""
     sig, p1 = written(signatures(docs), "simhash")
     nodes, p2 = written(sig.groupBy("nid", "s0", "s1", "s2", "s3").agg(F.count("*").alias("n")), "simhash-nodes")
     found, p3 = written(forest(nodes, radius, verify, recall), "simhash-found")
@@ -321,9 +327,9 @@ def members(docs: DataFrame, radius: int = RADIUS, verify: int = VERIFY, recall:
     # exact copies share a node: a node without edges is a group if it has several rows
     label = nodes.select("nid", "n").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").where("n > 1 or component is not null").join(near, "nid", "left")
     label, p4 = written(label.select("nid", F.coalesce("component", "nid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "simhash-labels")
-    rows, p5 = written(sig.select("doc_id", "rid", "nid").join(label, "nid").select("doc_id", "rid", "component", "links"), "simhash-rows")
+    rows, p5 = written(sig.select("doc_id", "rid", "rid2", "nid").join(label, "nid").select("doc_id", "rid", "rid2", "component", "links"), "simhash-rows")
     # null ids come last
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2")).alias("first")
     groups = rows.groupBy("component").agg(first, F.count("*").alias("n"))
     for old in (p1, p2, p3, p4, *p):
         drop(docs.sparkSession, old)
@@ -352,9 +358,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts are compared whole.
     """
     rows, _ = members(docs)
-    extra = rows.where((F.col("rid") != F.col("first.rid")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("rid").alias("__rid"), F.col("doc_id").alias("__id")).distinct()
-    id_ = F.col("doc_id").cast("long")
-    # 128 bits and the id itself: no two different rows count as one by chance
-    have = docs.withColumns({"__rid": F.xxhash64(id_, F.col("text")), "__id": id_, "__rid2": F.xxhash64(F.lit("again"), F.col("text"))})
-    gone = (have["__rid"] == extra["__rid"]) & have["__id"].eqNullSafe(extra["__id"])
-    return have.join(extra, gone, "left_anti").dropDuplicates(["__rid", "__rid2", "__id"]).select(*docs.columns)
+    extra = rows.where((F.col("rid") != F.col("first.rid")) | (F.col("rid2") != F.col("first.rid2"))).select(F.col("rid").alias("__rid"), F.col("rid2").alias("__rid2")).distinct()
+    # one shuffle of the texts serves the join and the rows that repeat
+    have = docs.withColumns({"__rid": F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), "__rid2": _again("text")}).repartition("__rid", "__rid2")
+    return have.join(extra, ["__rid", "__rid2"], "left_anti").dropDuplicates(["__rid", "__rid2"]).select(*docs.columns)
