@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
 from loomtext.functions import text as T
+from loomtext.sources.tables import cookies
 
 
 def value(spark, column, **cells):
@@ -58,6 +59,21 @@ def cases(C):
         (F.date_format(T.epoch_time(C), "yyyy-MM-dd"), "1700000000", "2023-11-14"),
         (T.epoch_time(C), "17x", None),
         (T.strip_html(C), "<script>x</script><p>a&amp;b</p>c", "a&b\nc"),
+        (T.to_simplified(C), "後來書畫㑳𠀀a", "后来书画㑇𠀀a"),
+        (T.is_traditional(C), "a電", True),
+        (T.is_traditional(C), None, None),
+        (T.count_pattern(C, "a."), "abacaa", 3),
+        (T.count_pattern(C, "a"), None, 0),
+        (T.to_ascii_marks(C), "「ｘ」，《１》。（a）", "「x」,<1>.(a)"),
+        (T.without_marks(C), "a-b, 「c」$1", "ab c1"),
+        (T.same_bytes(F.encode(C, "UTF-8"), F.lit(b"a")), "a", True),
+        (T.same_bytes(F.encode(C, "UTF-8"), F.lit(b"a")), None, None),
+        (T.annotated(C), "a <b> c", True),
+        (T.annotated(T.strip_annotations(C)), "<<<b>x>y>z", False),
+        (T.common_prefix_length(C, F.lit("héllo")), "héx", 2),
+        (T.common_prefix_length(C, F.lit("")), "x", 0),
+        (T.clean_email(C), "a..b-c@d.e-f.gh, x@y @z a@b.c", "a.., x@y @z "),
+        (T.clean_repetition(C), "!!!??..--- ((((", ".??... ."),
         (P.uses_name(C), "//a[@id='x']", True),
         (P.level(C), "./a/b//c", 2),
         (P.without_last_ordinal(C), "/a[1]/b[2]", "/a[1]/b"),
@@ -101,3 +117,15 @@ def test_pairs_and_groups(spark):
     assert [r[2] for r in got] == [False, False, True, True, False] and [r[3] for r in got] == ["", "abc", "same", "aaaaaaaaa", ""]
     assert spark.createDataFrame([("abx",), ("aby",), ("abzz",)], "c string").agg(T.group_prefix(F.col("c"))).first()[0] == "ab"
     assert spark.createDataFrame([("/a/b[1]/c",), ("/a/b[1]/d",)], "c string").agg(P.group_ancestor(F.col("c"))).first()[0] == "/a/b[1]"
+
+
+def test_cookies(spark):
+    rows = [(1, "a=1; b=x=y ;c; =z; a=2"), (2, ""), (3, None)]
+    got = {r.i: r.m for r in spark.createDataFrame(rows, "i int, h string").select("i", cookies(F.col("h")).alias("m")).collect()}
+    assert got == {1: {"a": "2", "b": "x=y"}, 2: {}, 3: None}
+
+
+def test_long_texts_without_a_match_take_linear_time(spark):
+    long = "word.word-" * 60000 + " " * 60000 + "," * 60000
+    got = spark.createDataFrame([(long,)], "c string").select(T.clean_email(F.col("c")).alias("e"), F.length(T.full_clean(F.col("c"))).alias("n")).first()
+    assert got.e == long and got.n > 0
