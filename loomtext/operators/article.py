@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,10 +73,6 @@ def parse_date(c: Column, now: Column | None = None) -> Column:
     return F.coalesce(absolute, F.timestamp_micros(F.unix_micros(now) - relative.cast("long") * 1_000_000))
 
 
-def _bare_length(s: str) -> int:
-    return sum(not c.isspace() for c in s)
-
-
 def block_scores(root: Node, tags: Sequence[str] = PARITY_TAGS, stop: Sequence[str] = STOP_PHRASES) -> list[tuple[float, str, str]]:
     """(score, html, text) of every block with text, in document order.
 
@@ -82,29 +80,65 @@ def block_scores(root: Node, tags: Sequence[str] = PARITY_TAGS, stop: Sequence[s
     for each link, plus a 40th of the length. Paragraphs directly inside, if
     they hold nine tenths of the text, stand for the block with a score of
     their own. Short texts, runs of blank lines and stop phrases cost."""
-    out = []
-    for d in root.descendants():
-        if d.tag not in tags:
-            continue
-        html, text = d.inner_html(), d.inner_text()
-        if not html.strip() or not text.strip():
+    return [(score, "".join(c.outer_html() for c in kids) if kids else d.inner_html(), text) for score, d, kids, text in _scored(root, tags, stop)]
+
+
+class _Sums:
+    """Running sums over a tree in document order: what a subtree holds is the
+    difference of two of them."""
+
+    def __init__(self, root: Node, tags: Sequence[str]):
+        nodes = [root, *root.descendants()]
+        self.text = "".join(n.text for n in nodes if n.tag == "#text")
+        chars = np.cumsum([0, *(len(n.text) if n.tag == "#text" else 0 for n in nodes)])
+        space = np.fromiter((not c.isspace() for c in self.text), dtype=np.int64, count=len(self.text))
+        self.chars, self.seen = chars.tolist(), np.r_[0, np.cumsum(space)].tolist()
+        self.blocks = [n for n in nodes if n.tag in tags]
+        self.block_ids = [n.node_id for n in self.blocks]
+        links = np.array([n.tag == "a" for n in nodes], dtype=np.int64)
+        bare = np.array([self.bare(n) for n in nodes], dtype=np.int64)
+        filled = np.array([n.tag in tags for n in nodes], dtype=np.int64) * (bare > 0)
+        self.links, self.linked, self.filled = (np.r_[0, np.cumsum(x)].tolist() for x in (links, links * bare, filled))
+
+    def inner_text(self, n: Node) -> str:
+        return self.text[self.chars[n.node_id] : self.chars[n.end_id + 1]]
+
+    def bare(self, n: Node) -> int:
+        return self.seen[self.chars[n.end_id + 1]] - self.seen[self.chars[n.node_id]]
+
+    def below(self, sums: list[int], n: Node) -> int:
+        return sums[n.end_id + 1] - sums[n.node_id + 1]
+
+    def inner_blocks(self, n: Node) -> tuple[int, Node | None]:
+        """How many blocks are inside, and the first of them."""
+        lo, hi = bisect.bisect_right(self.block_ids, n.node_id), bisect.bisect_right(self.block_ids, n.end_id)
+        return hi - lo, self.blocks[lo] if hi > lo else None
+
+
+def _scored(root: Node, tags: Sequence[str], stop: Sequence[str]) -> Iterator[tuple[float, Node, list[Node], str]]:
+    """Score, block, the paragraphs that stand for it, if any, and text."""
+    sums = _Sums(root, tags)
+    for d in sums.blocks:
+        n = sums.bare(d)
+        if not n:
             continue
+        text = sums.inner_text(d)
         score = 15.0
-        inner = [x for x in d.descendants() if x.tag in tags]
-        if len(inner) > 1:
-            score -= 3 * sum(bool(x.inner_text().strip()) for x in inner)
-        score -= 2 * sum(x.tag == "a" for x in d.descendants())
-        n = _bare_length(text)
+        inside, first = sums.inner_blocks(d)
+        if inside > 1:
+            score -= 3 * sums.below(sums.filled, d)
+        score -= 2 * sums.below(sums.links, d)
         score += n / 40
-        holder = d if any(c.tag == "p" for c in d.children) else (inner[0] if inner else None)
+        holder = d if any(c.tag == "p" for c in d.children) else first
         kids = [c for c in holder.children if c.tag in ("p", "pre", "img")] if holder and any(c.tag == "p" for c in holder.children) else []
-        if kids and n:
-            m = sum(_bare_length(c.inner_text()) for c in kids)
-            linked = [c for c in kids if any(x.tag == "a" for x in c.descendants())]
+        whole: list[Node] = []
+        if kids:
+            m = sum(map(sums.bare, kids))
+            linked = [c for c in kids if sums.below(sums.links, c)]
             if (n - m) / n <= 0.1:
-                html, text = "".join(c.outer_html() for c in kids), "\n".join(c.inner_text() for c in kids)
+                whole, text = kids, "\n".join(map(sums.inner_text, kids))
                 score = 15.0 + m // 40 + len(kids) - 1 - 2 * len(linked)
-                k = sum(_bare_length(x.inner_text()) for c in kids for x in c.descendants() if x.tag == "a")
+                k = sum(sums.below(sums.linked, c) for c in kids)
                 if linked and m and (m - k) / m <= 0.05:
                     score -= 100
         if n < 25:
@@ -114,8 +148,7 @@ def block_scores(root: Node, tags: Sequence[str] = PARITY_TAGS, stop: Sequence[s
             run = 0 if line.strip() else run + 1
             score -= 1.0 if run == 3 else 0.2 if run > 3 else 0.0
         score -= 5 * sum(p in text for p in stop)
-        out.append((score, html, text))
-    return out
+        yield score, d, whole, text
 
 
 _FILTERS = ((re.compile(r"(?is)<script\b.*?</script\s*>"), ""), (re.compile(r"(?is)<style\b.*?</style\s*>"), ""), (re.compile(r"(?s)<!--.*?-->"), ""), (re.compile(r"(?i)</a\s*>"), "</a>\n"))
@@ -148,12 +181,11 @@ def extract_articles(pages: DataFrame, *, tags: Sequence[str] = PARITY_TAGS, for
                 for pattern, to in _FILTERS:
                     html = pattern.sub(to, html or "")
                 root = parse(html)
-                scored = block_scores(root, tags, stop)
-                best = max(scored, key=lambda x: x[0]) if scored else (None, None, None)
-                content = best[1]
+                best = max(_scored(root, tags, stop), key=lambda x: x[0], default=None)
+                content = ("".join(c.outer_html() for c in best[2]) if best[2] else best[1].inner_html()) if best else None
                 if format and content is not None:
                     content = format_html(content, url or "")
-                rows.append((page_id, url, html, date_text(root), best[0], content, clean_html(content) if content else None))
+                rows.append((page_id, url, html, date_text(root), best[0] if best else None, content, clean_html(content) if content else None))
             yield pa.RecordBatch.from_pylist([dict(zip(("page_id", "url", "html", "date_text", "score", "html_content", "content"), r)) for r in rows], schema=_SCHEMA)
 
     x = mapped(pages.select("page_id", "url", "html"), f, "page_id long, url string, html string, date_text string, score double, html_content string, content string")

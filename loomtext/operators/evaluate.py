@@ -67,6 +67,19 @@ def auc(df: DataFrame, score: str = "score", positive: str = "positive") -> Data
     return y.agg((F.sum(area) / (F.max("positives") * F.max("negatives"))).alias("auc"))
 
 
+def parse_results(lines: DataFrame, column: str = "value") -> DataFrame:
+    """score, positive of text lines "label score": labels above 0 are positive.
+    Lines that don't read so are left out."""
+    t = F.split(F.trim(column), r"\s+")
+    x = lines.select(F.get(t, 1).try_cast("double").alias("score"), (F.get(t, 0).try_cast("double") > 0).alias("positive"))
+    return x.where("score is not null and positive is not null")
+
+
+def write_curve(points: DataFrame, path: str) -> None:
+    """The points of a curve as a folder of tab-separated files with a header."""
+    points.write.option("sep", "\t").option("header", True).csv(path)
+
+
 def squared_error(y: Column, predicted: Column) -> Column:
     return F.avg((y - predicted) * (y - predicted))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators.frames import mapped
+from loomtext.runtime import read_text, write_text
 
 KERNELS = ("linear", "polynomial", "rbf", "sigmoid", "precomputed")
 TYPES = ("c_svc", "nu_svc", "one_class", "epsilon_svr", "nu_svr")
@@ -77,7 +79,8 @@ def kernel_matrix(x: np.ndarray, y: np.ndarray, p: Parameter) -> np.ndarray:
 
 def smo(k: np.ndarray, y: np.ndarray, linear: np.ndarray, upper: np.ndarray, alpha: np.ndarray, eps: float, most: int = 100_000) -> tuple[np.ndarray, float]:
     """Minimise a'Qa/2 + linear'a with y'a fixed and 0 <= a <= upper, where Q is
-    y y' k: the pair of most violation moves until none exceeds ``eps``."""
+    y y' k: the pair of most violation moves until none exceeds ``eps``. A warning
+    tells where ``most`` steps did not do."""
     g = linear + y * (k @ (alpha * y))
     for _ in range(most):
         up = (y > 0) & (alpha < upper) | (y < 0) & (alpha > 0)
@@ -95,6 +98,8 @@ def smo(k: np.ndarray, y: np.ndarray, linear: np.ndarray, upper: np.ndarray, alp
         alpha[j] -= y[j] * step
         alpha[[i, j]] = np.clip(alpha[[i, j]], 0, upper[[i, j]])
         g += y * (k[:, i] - k[:, j]) * step
+    else:
+        warnings.warn(f"no optimum within {most} steps", RuntimeWarning, stacklevel=2)
     up = (y > 0) & (alpha < upper) | (y < 0) & (alpha > 0)
     low = (y > 0) & (alpha > 0) | (y < 0) & (alpha < upper)
     free = (alpha > 1e-12) & (alpha < upper - 1e-12)
@@ -386,8 +391,8 @@ def smart_grid(x: np.ndarray, y: np.ndarray, p: Parameter, folds: int = 5, start
     return start[0] * factor ** now[0], start[1] * factor ** now[1], known[now]
 
 
-def write_model(m: Model, path: str) -> None:
-    """The text format of libsvm."""
+def write_model(m: Model, path: str, spark: SparkSession | None = None) -> None:
+    """The text format of libsvm; with a session, on any file system it knows."""
     p = m.parameter
     out = [f"svm_type {p.svm_type}", f"kernel_type {p.kernel}"]
     if p.kernel == "polynomial":
@@ -407,12 +412,26 @@ def write_model(m: Model, path: str) -> None:
     out.append("SV")
     for c, v in zip(m.coef.T, m.sv):
         out.append(" ".join([*(repr(float(x)) for x in c), *(f"{i + 1}:{float(x)!r}" for i, x in enumerate(v) if x)]))
-    Path(path).write_text("\n".join(out) + "\n")
+    _put("\n".join(out) + "\n", path, spark)
+
+
+def _put(text: str, path: str, spark: SparkSession | None) -> None:
+    if spark is None:
+        Path(path).write_text(text)
+    else:
+        write_text(spark, path, text)
 
 
-def read_model(path: str, width: int | None = None) -> Model:
+def _get(path: str, spark: SparkSession | None) -> str:
+    text = Path(path).read_text() if spark is None else read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return text
+
+
+def read_model(path: str, width: int | None = None, spark: SparkSession | None = None) -> Model:
     head: dict[str, list[str]] = {}
-    lines = iter(Path(path).read_text().splitlines())
+    lines = iter(_get(path, spark).splitlines())
     for line in lines:
         if line.strip() == "SV":
             break
@@ -441,6 +460,36 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def kernel_column(a: Column, b: Column, p: Parameter) -> Column:
+    """The kernel of two array columns, inside whole-stage code."""
+    if p.kernel == "rbf":
+        return rbf(a, b, p.gamma)
+    if p.kernel == "linear":
+        return dot(a, b)
+    z = p.gamma * dot(a, b) + p.coef0
+    if p.kernel == "polynomial":
+        return F.pow(z, F.lit(p.degree))
+    if p.kernel == "sigmoid":
+        return F.tanh(z)
+    raise ValueError(f"no column for the kernel {p.kernel}")
+
+
+def deviation(x: np.ndarray, y: np.ndarray, p: Parameter, folds: int = 5, seed: int = 0) -> float:
+    """Scale of the Laplace density of a regression's errors: the mean absolute
+    held-out residual, without those beyond five standard deviations."""
+    if p.svm_type not in ("epsilon_svr", "nu_svr"):
+        raise ValueError("only regressions have a deviation")
+    r = np.abs(y - cross_validation(x, y, p, folds, seed))
+    near = r[r <= 5 * math.sqrt(2 * r.mean() ** 2)] if len(r) else r
+    return float(near.mean()) if len(near) else 0.0
+
+
+def interval(predicted: Column, scale: float, share: float = 0.9) -> Column:
+    """(low, high) that hold the true value with that probability."""
+    half = -scale * math.log(1 - share)
+    return F.struct((predicted - half).alias("low"), (predicted + half).alias("high"))
+
+
 def range_transform(df: DataFrame, features: str, lower: float = -1.0, upper: float = 1.0) -> dict:
     """Least and greatest of each place of an array column, one aggregate."""
     each = df.select(F.posexplode(features).alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i").collect()
@@ -465,12 +514,12 @@ def standardised(c: Column, t: dict) -> Column:
     return F.zip_with(F.zip_with(c, mean, lambda v, m: v - m), sd, lambda d, s: F.when(s != 0, d / s).otherwise(0.0))
 
 
-def save_transform(t: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(t))
+def save_transform(t: dict, path: str, spark: SparkSession | None = None) -> None:
+    _put(json.dumps(t), path, spark)
 
 
-def load_transform(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+def load_transform(path: str, spark: SparkSession | None = None) -> dict:
+    return json.loads(_get(path, spark))
 
 
 def kernel_table(rows: DataFrame, columns: DataFrame, gamma: float, *, most_columns: int = 10_000) -> DataFrame:

@@ -168,12 +168,13 @@ def regex_rows(pages: DataFrame, *, first_only: bool = False, seconds: float = 1
     """Rows of pages (page_id, url, html, pattern) by a pattern with named groups.
 
     Groups: Url, Title, Text, AuthorName, Source or MediaName, PubDate, View,
-    Reply, Forward, NextPageUrl. Counters are 0 where absent. A page whose
-    matching takes longer than ``seconds`` keeps the rows found by then."""
+    Reply, Forward, NextPageUrl. Counters are 0 where absent. Where the matching
+    of a page takes longer than ``seconds``, its rows found by then have false in
+    ``complete``; if there are none, one row without values tells it."""
     text = ("Url", "Title", "Text", "AuthorName", "MediaName", "PubDate", "NextPageUrl")
     count = ("View", "Reply", "Forward")
     names = ["page_id", "match_no", "url", "title", "text", "author", "media", "date_text", "next_page_url", "views", "replies", "forwards"]
-    schema = pa.schema([("page_id", pa.int64()), ("match_no", pa.int32()), *((n, pa.string()) for n in names[2:9]), *((n, pa.int32()) for n in names[9:])])
+    schema = pa.schema([("page_id", pa.int64()), ("match_no", pa.int32()), *((n, pa.string()) for n in names[2:9]), *((n, pa.int32()) for n in names[9:]), ("complete", pa.bool_())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,17 +182,20 @@ def regex_rows(pages: DataFrame, *, first_only: bool = False, seconds: float = 1
             for page_id, url, html, pattern in zip(*(c.to_pylist() for c in b.columns)):
                 if not pattern or html is None:
                     continue
-                end = time.monotonic() + seconds
+                end, mine, late = time.monotonic() + seconds, [], False
                 for k, m in enumerate(re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern), re.I | re.M).finditer(html)):
                     g = {n: (v or "").strip() for n, v in m.groupdict().items()}
                     g.setdefault("MediaName", g.get("Source", ""))
                     words = [g.get(n) or None for n in text]
                     words[0] = urljoin(url or "", words[0]) if words[0] else None
                     numbers = [next(iter(_numbers(g.get(n))), 0) for n in count]
-                    out.append(dict(zip(names, (page_id, k, *words, *numbers))))
-                    if first_only or time.monotonic() > end:
+                    mine.append(dict(zip(names, (page_id, k, *words, *numbers))))
+                    late = time.monotonic() > end
+                    if first_only or late:
                         break
+                late = late or (not mine and time.monotonic() > end)
+                out += [{**r, "complete": not late} for r in mine or [{"page_id": page_id}] * late]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    ddl = "page_id long, match_no int, url string, title string, text string, author string, media string, date_text string, next_page_url string, views int, replies int, forwards int"
+    ddl = "page_id long, match_no int, url string, title string, text string, author string, media string, date_text string, next_page_url string, views int, replies int, forwards int, complete boolean"
     return mapped(pages.select("page_id", "url", "html", "pattern"), f, ddl).withColumn("pub_date", parse_date(F.col("date_text")))

@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
-from loomtext.operators.dom import Node
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from loomtext.operators.dom import Node, parse
+from loomtext.operators.frames import mapped
 
 _STEP = re.compile(r"(//|/)?((?:[^/\[\]'\"]+|\[(?:[^\[\]'\"]|'[^']*'|\"[^\"]*\")*\])+)")
 _PREDICATE = re.compile(r"\[((?:[^\[\]'\"]|'[^']*'|\"[^\"]*\")*)\]")
@@ -158,3 +163,20 @@ def class_and_id_path(n: Node) -> str:
         i, c = x.attrs.get("id", ""), x.attrs.get("class", "")
         steps.append(x.tag + (f"[@id='{i}']" if i and sum(d.isdigit() for d in i) < 2 else "") + (f"[@class='{c}']" if c else ""))
     return "/" + "/".join(reversed(steps))
+
+
+def id_kinds(pages: DataFrame, least: int = 10) -> DataFrame:
+    """page_id, node_id, tag, sib_ord, id, stem, random: of every node with an id the
+    stem if it counts on, and whether it looks drawn at random."""
+    names = ["page_id", "node_id", "tag", "sib_ord", "id", "stem", "random"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page_id, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                root = parse(html)
+                rows += [(page_id, n.node_id, n.tag, n.sib_ord, n.attrs["id"], sequence_stem(n, root, least), random_id(n, least)) for n in root.descendants() if "id" in n.attrs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+
+    return mapped(pages.select("page_id", "html"), f, "page_id long, node_id long, tag string, sib_ord int, id string, stem string, random boolean")

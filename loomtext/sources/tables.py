@@ -28,10 +28,20 @@ def decode_pages(rows: DataFrame, language: str = "ALL", header: Column | None =
     return decoded(x, "body", "charset", "html").select("page_id", "url", "charset", "html")
 
 
+def cookies(header: Column) -> Column:
+    """Names and values of a Cookie header as a map; parts without = are no cookies,
+    of a name that repeats the last value counts."""
+    parts = F.transform(F.split(header, ";"), lambda p: F.trim(p))
+    pairs = F.filter(parts, lambda p: F.contains(p, F.lit("=")) & ~F.startswith(p, F.lit("=")))
+    key = lambda p: F.substring_index(p, "=", 1)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: key(q) == key(p)))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(key(p).alias("k"), F.substring(p, F.length(key(p)) + 2, F.length(p)).alias("v"))))
+
+
 def read_libsvm(spark: SparkSession, path: str, width: int) -> DataFrame:
     """label, features (dense array) of a text problem ``label index:value ..``."""
     t = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"))
-    entries = F.map_from_entries(F.transform(F.slice("t", 2, 1 << 20), lambda e: F.struct(F.split_part(e, F.lit(":"), F.lit(1)).cast("int").alias("k"), F.split_part(e, F.lit(":"), F.lit(2)).cast("double").alias("v"))))
+    entries = F.map_from_entries(F.transform(F.slice("t", F.lit(2), F.size("t")), lambda e: F.struct(F.split_part(e, F.lit(":"), F.lit(1)).cast("int").alias("k"), F.split_part(e, F.lit(":"), F.lit(2)).cast("double").alias("v"))))
     dense = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0)))
     return t.select(F.element_at("t", 1).cast("double").alias("label"), dense.alias("features"))
 

@@ -183,3 +183,24 @@ def test_evaluation_by_hand(spark):
     assert evaluate.average_precision(df).first()[0] == pytest.approx(0.75)
     # pairs of positive over negative: 3 + 2 + tie / 2 ... of 6
     assert evaluate.auc(df).first()[0] == pytest.approx((3 + 1 + 0.5) / 6)
+
+
+def test_pages_of_open_tags_take_linear_time():
+    for page in ("<a x" * 200000, "<!" * 200000, '<a "' * 100000 + ">", "<a '\">" * 100000):
+        parse(page)
+    (n,) = [n for n in parse('<p a="1>2" b=\'<\'>t</p>').children if n.tag == "p"]
+    assert n.attrs == {"a": "1>2", "b": "<"} and n.inner_text() == "t"
+    assert [n.tag for n in parse('x<p a="1>y').children] == ["#text", "p"]
+
+
+def test_nested_blocks_take_sums():
+    deep = "<div>" * 300 + "text " * 50 + "</div>" * 300
+    scores = article.block_scores(parse(deep))
+    assert len(scores) == 300 and all(t == "text " * 50 for _, _, t in scores)
+
+
+def test_rows_of_a_pattern_that_takes_too_long_say_so(spark):
+    df = spark.createDataFrame([(1, "u", "<b>x</b>" * 3, "<b>(?<Title>x)</b>"), (2, "u", "none", "<b>(?<Title>x)</b>")], "page_id long, url string, html string, pattern string")
+    assert [r.complete for r in wrapper.regex_rows(df).collect()] == [True] * 3
+    late = wrapper.regex_rows(df, seconds=-1.0).orderBy("page_id").collect()
+    assert [(r.page_id, r.complete) for r in late] == [(1, False), (2, False)] and late[1].title is None

@@ -79,3 +79,30 @@ def test_on_tables(spark, rings, tmp_path):
     assert np.allclose([z.min(0), z.max(0)], [[-1, -1], [1, 1]])
     svm.save_transform(t, str(tmp_path / "t"))
     assert svm.load_transform(str(tmp_path / "t")) == t
+
+
+def test_deviation_of_a_regression():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (120, 1))
+    y = 2 * x[:, 0] + rng.laplace(0, 0.2, 120)
+    p = svm.Parameter(svm_type="epsilon_svr", kernel="linear", C=10.0)
+    assert svm.deviation(x, y, p) == pytest.approx(0.2, abs=0.07)
+    with pytest.raises(ValueError):
+        svm.deviation(x, y, svm.Parameter())
+
+
+def test_files_on_any_file_system(spark, tmp_path):
+    m = svm.train(np.array([[0.0, 1.0], [1.0, 0.0], [0.1, 0.9], [0.9, 0.2]]), np.array([1, 2, 1, 2]), svm.Parameter(gamma=0.5))
+    path = (tmp_path / "m").as_uri()
+    svm.write_model(m, path, spark)
+    again = svm.read_model(path, 2, spark)
+    assert np.allclose(svm.decisions(m, m.sv), svm.decisions(again, m.sv))
+    with pytest.raises(FileNotFoundError):
+        svm.load_transform(f"{path}-none", spark)
+
+
+def test_results_of_lines(spark):
+    from loomtext.operators import evaluate
+
+    lines = spark.createDataFrame([("+1 0.9",), ("-1 0.4",), ("bad",), ("1 x",), ("0 0.2",)], "value string")
+    assert sorted(map(tuple, evaluate.parse_results(lines).collect())) == [(0.2, False), (0.4, False), (0.9, True)]
