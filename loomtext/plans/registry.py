@@ -1,5 +1,7 @@
 """All queries of the library but those of the llm subpackage."""
 
-from loomtext.plans.structure import ORACLE, QUERIES
+import loomtext.plans.columns
+import loomtext.plans.structure
+from loomtext.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -186,12 +186,16 @@ def rbf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "x").crossJoin(mean).select("vec_id", "label", F.round(svm.rbf(F.col("x"), F.col("m"), 0.5), 6).alias("value"))
 
 
+#: rows that ``svm_labels`` is trained on, about: a hash draws each by itself
+SVM_TRAIN_ROWS = 300
+
+
 @query()
-def svm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings scored by a machine trained on at most 300 of them, drawn by hash."""
+def svm_labels(spark: SparkSession, sf_dir: str, train_rows: int = SVM_TRAIN_ROWS) -> DataFrame:
+    """Embeddings scored by a machine trained on about ``train_rows`` of them."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
     n = e.count()
-    part = int(min(1.0, 300 / max(n, 1)) * (1 << 30))
+    part = int(min(1.0, train_rows / max(n, 1)) * (1 << 30))
     rows = e.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < part).orderBy("vec_id").collect()
     m = svm.train(np.array([r.features for r in rows]), np.array([r.label for r in rows]), svm.Parameter(gamma=0.5, C=4.0))
     return svm.scored(e, m).select("vec_id", "label", "prediction")
@@ -259,10 +263,11 @@ def valid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def common_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest common substring and subsequence of the addresses of a host."""
+    """Longest common substring and subsequence of the addresses of a host: of
+    those whose page_id is divisible by 20 with all others."""
     p = _pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.page_id") < F.col("b.page_id")))
+    a, b = p.where("page_id % 20 = 0").alias("a"), p.alias("b")
+    pairs = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.page_id") != F.col("b.page_id")))
     x = pairs.select(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.col("a.url").alias("x"), F.col("b.url").alias("y"))
     return similarity.with_common_lengths(x, "x", "y").select("a", "b", "common_substring", "common_subsequence")
 
