@@ -26,6 +26,21 @@ def without_last_ordinal(path: Column) -> Column:
     return F.regexp_replace(path, r"\[[0-9][^\[]*\]$", "")
 
 
+def without_ordinals(path: Column) -> Column:
+    """Without any ordinal."""
+    return F.regexp_replace(path, r"\[[0-9]+\]", "")
+
+
+def same_steps(a: Column, b: Column) -> Column:
+    """Equal but for ordinals."""
+    return (a == b) | (without_ordinals(a) == without_ordinals(b))
+
+
+def of_element(path: Column) -> Column:
+    """The path of the element that a text node's path lies in."""
+    return F.regexp_replace(path, r"/text\(\)(?:\[[0-9]+\])?$", "")
+
+
 def parent(path: Column, n: int = 1) -> Column:
     """Without its last n steps."""
     return F.regexp_replace(path, rf"(?:/[^/]*){{{n}}}$", "") if n else path

@@ -12,7 +12,7 @@ from loomtext.functions import nodes as N
 from loomtext.functions import paths as P
 from loomtext.functions import similarity
 from loomtext.functions import text as T
-from loomtext.operators import charset, evaluate, features, paging, reflow, svm, xpath
+from loomtext.operators import charset, evaluate, features, items, paging, reflow, svm, wrapper, xpath
 from loomtext.operators.dom import node_table
 from loomtext.plans.queries import CN, q, query, table
 from loomtext.runtime import scratch
@@ -231,12 +231,6 @@ def next_of_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.next_pages(p.select("page_id", F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1).alias("url"), row.alias("html")))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(html, '[^\\x{00}-\\x{7F}]') THEN 'UTF-8' ELSE 'ASCII' END AS charset FROM pages")
-def page_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"))
-    return charset.detected(b).select("page_id", "charset")
-
-
 _SUBS = "SELECT x.page_id AS a, y.page_id AS b, x.url AS u, y.url AS v FROM pages x JOIN pages y ON regexp_extract(x.url, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(y.url, '^[a-z]+://([^/?#]*)', 1) AND x.page_id <> y.page_id WHERE x.page_id % 20 = 0"
 
 
@@ -375,3 +369,60 @@ def id_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<ul>"), F.array_join(F.transform(ids, lambda i: F.concat(F.lit('<li id="'), i, F.lit('">t</li>'))), ""), F.lit("</ul>"))
     x = xpath.id_kinds(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
     return x.where("tag = 'li' and sib_ord = 7").select("page_id", "stem", "random")
+
+
+@query(f"SELECT page_id, a = b OR regexp_replace(a, '\\[[0-9]+\\]', '', 'g') = regexp_replace(b, '\\[[0-9]+\\]', '', 'g') AS with_b, true AS with_c, regexp_replace(a, '\\[[0-9]+\\]', '', 'g') AS bare FROM {_P}")
+def same_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that differ in ordinals only."""
+    a, b, c = (F.col(x) for x in "abc")
+    return _paths(spark, sf_dir).select("page_id", P.same_steps(a, b).alias("with_b"), P.same_steps(a, c).alias("with_c"), P.without_ordinals(a).alias("bare"))
+
+
+@query(f"SELECT page_id, a AS element, b AS plain FROM {_P}")
+def text_node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of text nodes become those of their elements."""
+    texts = F.concat(F.col("a"), F.lit("/text()["), (F.col("page_id") % 4 + 1).cast("string"), F.lit("]"))
+    return _paths(spark, sf_dir).select("page_id", P.of_element(texts).alias("element"), P.of_element(F.col("b")).alias("plain"))
+
+
+_PIECE = "(SELECT page_id, trim(unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1))) AS t FROM pages)"
+
+
+@query(
+    "SELECT page_id, CAST(count(*) AS DOUBLE) AS n, round(avg(len), 6) AS mean, round(coalesce(stddev_samp(len), 0), 6) AS spread, round(avg(digits), 6) AS digits, round(avg(marks), 6) AS marks, round(count(DISTINCT t) / count(*), 6) AS kinds, CAST(1 AS DOUBLE) AS linked, CAST(6 AS DOUBLE) AS depth"
+    f" FROM (SELECT page_id, t, CAST(length(regexp_replace(s, '{T.ALPHA_RUN}', '', 'g')) + floor((length(s) - length(regexp_replace(s, '{T.ALPHA_RUN}', '', 'g'))) / 2) AS INT) AS len, length(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(length(t), 1) AS digits,"
+    f" (length(t) - length(regexp_replace(t, '\\p{{P}}', '', 'g'))) / greatest(length(t), 1) AS marks FROM (SELECT page_id, t, regexp_replace(t, '{T.SPACE}', '', 'g') AS s FROM {_PIECE})) GROUP BY page_id"
+)
+def link_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numeric features of each page's links, which share one path."""
+    x = features.pattern_features(features.link_nodes(node_table(table(spark, sf_dir, "pages"))))
+    names = {"n": 1, "mean": 2, "spread": 3, "digits": 4, "marks": 6, "kinds": 7, "linked": 8, "depth": 9}
+    return x.select("page_id", *(F.round(F.element_at("features", k), 6).alias(n) for n, k in names.items()))
+
+
+_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+
+
+@query(f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace({_H1}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def item_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of item pages by a path."""
+    p = table(spark, sf_dir, "pages").withColumn("pattern", F.lit('{"ItemTitleXPath": "//h1"}'))
+    return wrapper.parse_items(p).select("page_id", "title")
+
+
+@query(f"SELECT site, path, pages, sure FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, count(*) AS pages FROM pages GROUP BY 1) s CROSS JOIN (SELECT unnest(['/html/head/title', '/html/body/article/h1']) AS path, true AS sure)")
+def title_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that hold the page's title on most pages of a site."""
+    p = table(spark, sf_dir, "pages").withColumn("site", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    wanted = p.select("page_id", F.explode(F.array(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))).alias("wanted"))
+    x = items.string_paths(node_table(p), p.select("page_id", "site"), wanted)
+    return x.where("path in ('/html/head/title', '/html/body/article/h1')").select("site", "path", "pages", (F.col("share") >= 0.5).alias("sure"))
+
+
+@query("SELECT site, '/div/span' AS path, count(*) AS pages FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site FROM pages) GROUP BY 1")
+def date_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that hold a date, over pages of one date, one number and one text each."""
+    p = table(spark, sf_dir, "pages").withColumn("site", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    html = F.concat(F.lit("<div><span>2024-05-"), day, F.lit("</span><b>"), F.col("page_id").cast("string"), F.lit("</b><p>text of the page</p></div>"))
+    return items.date_paths(node_table(p.select("page_id", html.alias("html"))), p.select("page_id", "site")).select("site", "path", "pages")

@@ -107,7 +107,7 @@ def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.next_pages(_pages(spark, sf_dir))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '[^\\x{00}-\\x{7F}]') THEN 'UTF-8' ELSE 'ASCII' END AS charset FROM pages")
 def charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the detector says of pages' bytes."""
     b = _pages(spark, sf_dir).select("page_id", F.encode("html", "UTF-8").alias("body"))
@@ -211,20 +211,57 @@ def _doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
 
 
-_LINES = r"""WITH l AS (SELECT conv_id AS doc_id, turn AS page_no, generate_subscripts(string_split(text, chr(10)), 1) AS i, regexp_replace(unnest(string_split(text, chr(10))), '[\s\x{3000}]', '', 'g') AS bare FROM conversations),
-t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i) AS a, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i DESC) AS z FROM l WHERE bare <> '' AND NOT regexp_matches(bare, '^[0-9]{1,9}$')),
-e AS (SELECT doc_id, bare, 'top' AS place FROM t WHERE a <= 3 UNION ALL SELECT doc_id, bare, 'end' AS place FROM t WHERE z <= 3),
-c AS (SELECT conv_id AS doc_id, count(*) AS pages FROM conversations GROUP BY 1)
-SELECT doc_id, bare, place, count(*) AS n FROM e JOIN c USING (doc_id) GROUP BY doc_id, bare, place, pages HAVING count(*) > 2 AND count(*) >= pages - 2"""
+_CONVERSATIONS = "(SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations)"
+_HEADED = "(SELECT conv_id AS doc_id, turn AS page_no, 'Report ' || conv_id || chr(10) || text || chr(10) || '- end of page' || chr(10) || turn AS text FROM conversations)"
+
+
+def _running(pages: str) -> str:
+    """SQL: headers and footers of pages."""
+    return rf"""SELECT doc_id, bare, place, count(*) AS n FROM (SELECT doc_id, bare, 'top' AS place FROM (SELECT doc_id, bare, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i) AS a FROM ({_lines(pages)}) WHERE bare <> '' AND NOT regexp_matches(bare, '^[0-9]{{1,9}}$')) WHERE a <= 3
+UNION ALL SELECT doc_id, bare, 'end' AS place FROM (SELECT doc_id, bare, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i DESC) AS z FROM ({_lines(pages)}) WHERE bare <> '' AND NOT regexp_matches(bare, '^[0-9]{{1,9}}$')) WHERE z <= 3)
+JOIN (SELECT doc_id, count(*) AS pages FROM {pages} GROUP BY 1) USING (doc_id) GROUP BY doc_id, bare, place, pages HAVING count(*) > 2 AND count(*) >= pages - 2"""
+
+
+def _lines(pages: str) -> str:
+    return rf"SELECT doc_id, page_no, i, line, regexp_replace(line, '[\s\x{{3000}}]', '', 'g') AS bare FROM (SELECT doc_id, page_no, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT doc_id, page_no, string_split_regex(text, '\r?\n') AS p FROM {pages}))"
+
+
+def _flow(pages: str) -> str:
+    """SQL: pages as running text."""
+    return rf"""WITH r AS MATERIALIZED ({_running(pages)}),
+t AS (SELECT *, sum(CAST(NOT number AS INT)) OVER (PARTITION BY doc_id, page_no ORDER BY i) AS top, sum(CAST(NOT number AS INT)) OVER (PARTITION BY doc_id, page_no ORDER BY i DESC) AS tail FROM (SELECT *, regexp_matches(bare, '^[0-9]{{1,9}}$') AS number FROM ({_lines(pages)}) WHERE bare <> '')),
+b AS (SELECT t.* FROM t LEFT JOIN (SELECT doc_id, bare, true AS f FROM r WHERE place = 'top') u ON u.doc_id = t.doc_id AND u.bare = t.bare LEFT JOIN (SELECT doc_id, bare, true AS f FROM r WHERE place = 'end') v ON v.doc_id = t.doc_id AND v.bare = t.bare
+WHERE NOT ((u.f IS NOT NULL AND top <= 3) OR (v.f IS NOT NULL AND tail <= 3) OR (number AND (top < 3 OR tail < 3)) OR upper(t.bare) IN ('目录', 'MENU', 'CONTENTS') OR regexp_matches(t.bare, '\.{{6,}}\s*[0-9]+'))),
+c AS (SELECT b.*, regexp_matches(line, '{reflow.CLOSING}') AS closes, regexp_matches(line, '^(?:[◆■•（]|[-*] )') OR (NOT regexp_matches(line, '{reflow.CLOSING}') AND NOT regexp_matches(line, '{reflow.INNER}') AND length(bare) < mean) AS alone
+FROM b JOIN (SELECT doc_id, least(floor(avg(length(bare))), 30) AS mean FROM b GROUP BY doc_id) USING (doc_id)),
+o AS (SELECT *, coalesce(lag(closes OR alone) OVER (PARTITION BY doc_id ORDER BY page_no, i), true) OR alone AS opens FROM c),
+p AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY page_no, i ROWS UNBOUNDED PRECEDING) AS part FROM o)
+SELECT doc_id, string_agg(text, chr(10) ORDER BY part) AS text FROM (SELECT doc_id, part, string_agg(rtrim(line, ' '), ' ' ORDER BY page_no, i) AS text FROM p GROUP BY doc_id, part) GROUP BY doc_id"""
 
 
-@query(_LINES)
+@query(_running(_CONVERSATIONS))
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers and footers, turns of a conversation taken as pages."""
     return reflow.running_lines(_doc_pages(spark, sf_dir))
 
 
-@query()
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages with a header, a footer and a number each."""
+    text = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n- end of page\n"), F.col("page_no").cast("string"))
+    return _doc_pages(spark, sf_dir).withColumn("text", text)
+
+
+@query(_running(_HEADED))
+def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflow.running_lines(_headed(spark, sf_dir))
+
+
+@query(_flow(_HEADED))
+def reflowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflow.reflowed(_headed(spark, sf_dir))
+
+
+@query(_flow(_CONVERSATIONS))
 def reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflow.reflowed(_doc_pages(spark, sf_dir))
 
