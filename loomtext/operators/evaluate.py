@@ -3,7 +3,7 @@
 Counts at each threshold are running sums over distinct scores. Scores are
 first summed by value, so the one ordered pass is over distinct scores, and
 that pass is split by range: each range's totals are summed before it starts,
-so no task sees all rows.
+so no task sees all rows. The sums by value are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,13 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.runtime import written
+
 
 def thresholds(df: DataFrame, score: str = "score", positive: str = "positive", ranges: int = 64) -> DataFrame:
     """score, tp, fp, positives, negatives: what scores of at least ``score`` hold."""
     d = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    lim = d.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    r = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
-    d = d.crossJoin(F.broadcast(lim)).select("score", "p", "n", r.alias("r"))
+    d, _ = written(d, "scores")
+    # edges at quantiles of the distinct scores: ranges are even, however skewed scores are
+    edges = d.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    r = F.lit(0)
+    if edges:
+        r = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e > F.col("score")))
+    d = d.select("score", "p", "n", r.alias("r"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     # one row for each range: at most ``ranges`` rows in the unpartitioned windows

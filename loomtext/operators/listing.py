@@ -329,11 +329,36 @@ def list_patterns(pages: DataFrame, strategy: Strategy | None = None) -> DataFra
 
 
 def crawl_items(pages: DataFrame, strategy: Strategy | None = None) -> DataFrame:
-    """Items of each page by its best pattern."""
-    from loomtext.operators.wrapper import parse_lists
+    """Items of each page (page_id, url, html) by its best pattern. The pattern
+    is found and applied on the one tree of the page: no shuffle, and pages of
+    the same page_id stay apart."""
+    from loomtext.operators.wrapper import items_schema, list_items, with_dates
 
-    best = list_patterns(pages, strategy).where("rank = 1").select("page_id", "pattern")
-    return parse_lists(pages.join(best, "page_id"))
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                root = parse(html)
+                for p in discover(root, strategy)[:1]:
+                    pattern = {"ItemRootXPath": p.base, "TitleXPath": p.title, "UrlXPath": p.title, **p.fields}
+                    out += [dict(zip(items_schema().names, (page_id, *row))) for row in list_items(root, url or "", pattern)]
+            yield pa.RecordBatch.from_pylist(out, schema=items_schema())
+
+    return with_dates(mapped(pages.select("page_id", "url", "html"), f, items_schema.ddl))
+
+
+def forum_patterns(pages: DataFrame, strategy: Strategy | None = None) -> DataFrame:
+    """page_id, base, floor, author, date: the paths of the posts of forum pages
+    (page_id, html). Pages without two posts have no row."""
+    names = {"base": "ItemRootXPath", "floor": "FloorXPath", "author": "AuthorXPath", "date": "DateXPath"}
+    schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in names)])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [{"page_id": page_id, **{n: p.get(k) for n, k in names.items()}} for page_id, html in zip(*(c.to_pylist() for c in b.columns)) for p in forum_posts(parse(html), strategy)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return mapped(pages.select("page_id", "html"), f, "page_id long, base string, floor string, author string, date string")
 
 
 def content_paths(pages: DataFrame, site: str = "site", least_text: int = 100) -> DataFrame:

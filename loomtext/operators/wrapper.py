@@ -24,6 +24,18 @@ ITEM = "item_no int, url string, title string, media string, author string, date
 _ITEM = pa.schema([("page_id", pa.int64()), ("item_no", pa.int32()), *((c, pa.string()) for c in ("url", "title", "media", "author", "date_text", "abstract")), ("views", pa.int32()), ("replies", pa.int32())])
 
 
+def items_schema() -> pa.Schema:
+    """The columns of list items before their dates are read."""
+    return _ITEM
+
+
+items_schema.ddl = f"page_id long, {ITEM}"
+
+
+def with_dates(items: DataFrame) -> DataFrame:
+    return items.withColumn("pub_date", parse_date(F.col("date_text")))
+
+
 def segment(text: str | None, prefix: str) -> str | None:
     """What stands behind the last label, up to the next blank."""
     if not text:
@@ -105,7 +117,7 @@ def parse_lists(pages: DataFrame) -> DataFrame:
                 out += [dict(zip(_ITEM.names, (page_id, *row))) for row in list_items(parse(html), url or "", p)]
             yield pa.RecordBatch.from_pylist(out, schema=_ITEM)
 
-    return mapped(pages.select("page_id", "url", "html", "pattern"), f, f"page_id long, {ITEM}").withColumn("pub_date", parse_date(F.col("date_text")))
+    return with_dates(mapped(pages.select("page_id", "url", "html", "pattern"), f, items_schema.ddl))
 
 
 def better_date(listed: Column, item: Column, now: Column) -> Column:

@@ -12,7 +12,7 @@ from loomtext.functions import nodes as N
 from loomtext.functions import paths as P
 from loomtext.functions import similarity
 from loomtext.functions import text as T
-from loomtext.operators import charset, evaluate, features, items, paging, reflow, svm, wrapper, xpath
+from loomtext.operators import charset, evaluate, features, items, listing, paging, reflow, svm, wrapper, xpath
 from loomtext.operators.dom import node_table
 from loomtext.plans.queries import CN, q, query, table
 from loomtext.runtime import scratch
@@ -186,7 +186,7 @@ def list_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM ({_LI}) GROUP BY page_id")
 def list_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many li the child histograms give for the nodes that have some."""
-    x = N.child_histograms(node_table(table(spark, sf_dir, "pages")))
+    x = N.child_histograms(node_table(table(spark, sf_dir, "pages"), subtree_text=False))
     x = x.select("page_id", F.explode("children").alias("c")).where("c.tag = 'li'")
     return x.groupBy("page_id").agg(F.sum("c.n").alias("n"))
 
@@ -194,14 +194,14 @@ def list_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, array_to_string(list_sort(list_distinct({_HREF})), ' ') AS hrefs FROM pages WHERE len({_HREF}) > 0")
 def link_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct values of one attribute."""
-    x = N.attribute_values(node_table(table(spark, sf_dir, "pages")))
+    x = N.attribute_values(node_table(table(spark, sf_dir, "pages"), subtree_text=False))
     return x.where("tag = 'a' and name = 'href'").select("page_id", F.array_join("values", " ").alias("hrefs"))
 
 
 @query(f"SELECT DISTINCT page_id, '/html[1]/body[1]/nav[1]/ul[1]' AS xpath FROM ({_LI}) WHERE n > 1")
 def list_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest node that holds most of a page's list items."""
-    x = node_table(table(spark, sf_dir, "pages"))
+    x = node_table(table(spark, sf_dir, "pages"), subtree_text=False)
     chosen = x.where("tag = 'li'").select("page_id", "node_id")
     more = chosen.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id")
     return N.majority_ancestor(x, chosen).join(x.select("page_id", "node_id", "xpath"), ["page_id", "node_id"]).join(more, "page_id").select("page_id", "xpath")
@@ -210,14 +210,14 @@ def list_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT page_id, true AS same FROM ({_LI})")
 def same_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ways to the same nodes: children of ul, and nodes by tag."""
-    x = node_table(table(spark, sf_dir, "pages"))
+    x = node_table(table(spark, sf_dir, "pages"), subtree_text=False)
     below = x.alias("n").join(x.where("tag = 'ul'").alias("u"), (F.col("n.page_id") == F.col("u.page_id")) & (F.col("n.parent_id") == F.col("u.node_id"))).select("n.page_id", "n.node_id")
     return N.same_nodes(below, x.where("tag = 'li'"))
 
 
 @query(f"SELECT DISTINCT page_id, tag IN ('html', 'body') AS top, tag FROM {_TAGS} WHERE tag IN ('html', 'body', 'h1', 'nav', 'ul')")
 def top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = node_table(table(spark, sf_dir, "pages")).where("tag in ('html', 'body', 'h1', 'nav', 'ul')")
+    x = node_table(table(spark, sf_dir, "pages"), subtree_text=False).where("tag in ('html', 'body', 'h1', 'nav', 'ul')")
     return x.select("page_id", N.is_top().alias("top"), "tag").distinct()
 
 
@@ -426,3 +426,21 @@ def date_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
     html = F.concat(F.lit("<div><span>2024-05-"), day, F.lit("</span><b>"), F.col("page_id").cast("string"), F.lit("</b><p>text of the page</p></div>"))
     return items.date_paths(node_table(p.select("page_id", html.alias("html"))), p.select("page_id", "site")).select("site", "path", "pages")
+
+
+@query("SELECT page_id, '//div[@id=''posts'']/div' AS base, './i' AS floor, './a' AS author, './span' AS date FROM pages WHERE page_id % 3 <> 0")
+def forum_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forum pages of three posts each; every third page has one only."""
+    post = lambda k: F.concat(F.lit(f'<div class="post"><i>{k}楼</i><a class="author" href="/u/{k}">user{k}</a><span class="time">2024-05-0{k} 10:00</span><p>said number {k} of page '), F.col("page_id").cast("string"), F.lit("</p></div>"))
+    posts = F.concat(F.lit("<div id='posts'>"), post(1), F.when(F.col("page_id") % 3 != 0, F.concat(post(2), post(3))).otherwise(""), F.lit("</div>"))
+    return listing.forum_patterns(table(spark, sf_dir, "pages").select("page_id", posts.alias("html")))
+
+
+@query(
+    f"SELECT page_id, CAST(i - 1 AS INT) AS item_no, trim(a) AS title, true AS valid FROM ({_LI}) WHERE n >= 3"
+)
+def discovered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the list that each page is found to have, where it has three items or more."""
+    x = listing.crawl_items(table(spark, sf_dir, "pages"))
+    ok = listing.validated(x)
+    return x.join(ok, "page_id").where("valid").select("page_id", "item_no", "title", "valid")

@@ -27,7 +27,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE["tag_histogram"])
 def dom_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the parsed trees by tag."""
-    return node_table(_pages(spark, sf_dir)).where("tag <> '#text'").groupBy("tag").agg(F.count("*").alias("n"))
+    return node_table(_pages(spark, sf_dir), subtree_text=False).where("tag <> '#text'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -274,18 +274,18 @@ def table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CAST(sum(n) AS BIGINT) AS links FROM (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS n FROM pages) GROUP BY page_id")
 def subtree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links below the root element, by running sums over the node table."""
-    x = N.subtree_counts(node_table(_pages(spark, sf_dir)), links=F.col("tag") == "a")
+    x = N.subtree_counts(node_table(_pages(spark, sf_dir), subtree_text=False), links=F.col("tag") == "a")
     return x.where("tag = 'html'").select("page_id", "links")
 
 
 @query()
 def same_tag_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.with_neighbours(node_table(_pages(spark, sf_dir))).select("page_id", "node_id", "previous_id", "next_id")
+    return N.with_neighbours(node_table(_pages(spark, sf_dir), subtree_text=False)).select("page_id", "node_id", "previous_id", "next_id")
 
 
 @query()
 def child_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.child_histograms(node_table(_pages(spark, sf_dir)))
+    return N.child_histograms(node_table(_pages(spark, sf_dir), subtree_text=False))
 
 
 @query()
