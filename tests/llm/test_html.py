@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -62,3 +63,88 @@ def test_frames(spark):
     assert len(got) == 6 and by[1].title == "A & B" and "long words of text" in by[1].text and "one link" in by[1].text and "Home" not in by[1].text and "Buy" not in by[1].text and "©" not in by[1].text
     assert by[2].text is None and by[2].n_blocks == 0 and by[3].text == "" and by[None].text == by[1].text and len(by[4].text) == 599999
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def naive_blocks(page):
+    """By the standard library's parser, for tidy pages."""
+    from html.parser import HTMLParser
+
+    out = []
+
+    class Reader(HTMLParser):
+        text, linked, inside, skip = "", 0, False, 0
+
+        def cut(self):
+            if self.text.split():
+                out.append((" ".join(self.text.split()), len(self.text.split()), self.linked))
+            self.text, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "head")
+            if tag == "a":
+                self.inside = True
+            elif tag not in H._INLINE and tag not in ("script", "style"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "head")
+            if tag == "a":
+                self.inside = False
+            elif tag not in H._INLINE and tag not in ("script", "style"):
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.text += data
+                self.linked += len(data.split()) if self.inside else 0
+
+    r = Reader(convert_charrefs=False)
+    r.feed(page)
+    r.close()
+    r.cut()
+    return out
+
+
+def test_blocks_equal_a_naive_parser():
+    rnd = random.Random(3)
+
+    def body(depth):
+        kinds = ["text"] * 4 + ["inline", "link"] + (["block"] * 3 if depth else [])
+        out = ""
+        for _ in range(rnd.randint(1, 4)):
+            k = rnd.choice(kinds)
+            words = " " + " ".join(rnd.choices(["one", "two", "3", "été", "x.y"], k=rnd.randint(1, 5))) + " "
+            if k == "text":
+                out += words
+            elif k == "inline":
+                out += f"<b>{words}</b>"
+            elif k == "link":
+                out += f'<a href="/x?y=1>2">{words}</a>'
+            else:
+                tag = rnd.choice(["div", "p", "li", "section", "td"])
+                out += f"<{tag} class='c'>{body(depth - 1)}</{tag}>"
+        return out
+
+    for _ in range(200):
+        page = f"<html><head><style>p{{}}</style></head><body>{body(3)}<script>var a = '<p>no</p>';</script>{body(1)}</body></html>"
+        assert [(b.text, b.words, b.linked) for b in H.blocks(page)] == naive_blocks(page)
+
+
+def test_pages_of_open_tags_take_linear_time(spark):
+    pages = ["<a x" * 500000, '<a "' * 200000 + ">", "<a '\">" * 200000, "<!" * 300000, "<script " * 200000, "<title>" * 200000, '<head><meta "' * 100000 + ">"]
+    for page in pages:
+        H.blocks(page)
+    docs = spark.createDataFrame([(1, pages[0], "t"), (2, None, "t"), (2, None, "t"), (3, "", "t")], "page_id long, html string, title string")
+    got = sorted((r.page_id, r.title, r.n_main) for r in H.main_text(docs).collect())
+    assert len(got) == 4 and [g[0] for g in got] == [1, 2, 2, 3] and H.main_text(docs.limit(0)).count() == 0
+
+
+def test_tree_equals_a_naive_descent():
+    rng = np.random.default_rng(6)
+    t = H.trained()
+    x = np.stack([rng.integers(0, 90, 400), rng.random(400).round(1), rng.integers(0, 90, 400), rng.random(400).round(1), rng.integers(0, 90, 400), rng.random(400).round(1)], axis=1)
+    for row, got in zip(x, t.probability(x)):
+        at = 0
+        while t.feature[at] >= 0:
+            at = t.low[at] if row[t.feature[at]] < t.cut[at] else t.high[at]
+        assert got == t.share[at]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pyarrow as pa
 
@@ -90,3 +91,45 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, coverage double")
     assert sorted(str(r.doc_id) for r in L.licenses(df).collect()) == ["1", "1", "4", "None"]
     assert L.licenses(df.limit(0)).count() == 0
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(row[j] + 1 if x == y else max(now[j], row[j + 1]))
+        row = now
+    return row[-1]
+
+
+def test_notices_against_a_naive_aligner():
+    """No notice has more words than the longest common sequence of its stretch
+    and the template, and wherever a template stands word for word one is found
+    that has at least as many."""
+    rnd = random.Random(14)
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    by = {}
+    for name, _, text in L.TEMPLATES:
+        by.setdefault(name, []).append(words(text))
+    compiled = L.compiled(L.TEMPLATES)
+    for _ in range(60):
+        name, _, text = rnd.choice(L.TEMPLATES)
+        w = text.split()
+        for _ in range(rnd.randint(0, len(w) // 12)):
+            w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+        doc = f"{' '.join(rnd.choices(WORDS, k=20))} qq. {' '.join(w)} qq {' '.join(rnd.choices(WORDS, k=20))}"
+        got = list(L.notices(pa.array([doc]), compiled))
+        for _, n, a, b, c, k in got:
+            part = words(doc[a:b])
+            most = max(common_words(part, t) for t in by[n])
+            assert k <= most and c >= L.COVERAGE
+        if w == text.split():
+            assert got and max(k for *_, k in got) >= len(words(text))
+
+
+def test_ties_and_empty_tables(spark):
+    two = [("A-1", "", "alpha beta gamma delta"), ("B-1", "", "alpha beta gamma delta")]
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta y", "l"), (2, None, "l"), (None, "alpha beta gamma delta", "l")], "doc_id long, text string, license string")
+    assert sorted((str(r.doc_id), r.license) for r in L.licenses(docs, two).collect()) == [("1", "A-1"), ("None", "A-1")]
+    assert L.licenses(docs.limit(0)).count() == 0

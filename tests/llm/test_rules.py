@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -63,3 +65,32 @@ def test_held_out_accuracy_and_edges(spark):
     assert by[None].keep and by[5000].rule == by[5001].rule == -1 and not by[5000].keep and by[2].reason == "default" and by[0].p_bad > 0.8
     assert R.judged(docs.limit(0), labels).count() == 0
     assert all(r.keep for r in R.judged(docs.where("text <> ''"), labels.limit(0)).collect())
+
+
+def naive_features(text, marked):
+    import re
+
+    text = text or ""
+    w = re.findall(r"[0-9A-Za-z\u00c0-\u1fff]+", text.lower())
+    raw = text.encode()
+    n, lines = max(len(w), 1), text.split("\n")
+    share = lambda ok: sum(map(ok, raw)) / max(len(raw), 1)
+    symbol = lambda c: 0x20 < c < 0x7F and not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?"
+    counts = Counter(w)
+    return [len(w), sum(len(x.encode()) for x in w) / n, share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(symbol), len(counts) / n, max(counts.values(), default=0) / n, 1 - len(set(lines)) / len(lines), sum(counts.get(x, 0) for x in marked)]
+
+
+def test_verdicts_equal_a_naive_reading_of_the_list(spark):
+    from loomtext.llm import kernel as K
+
+    rng = np.random.default_rng(8)
+    vocab = ["alpha", "Beta", "GAMMA", "dolt", "été", "x9", "!!", "***", "99", "a.b", "\n", "c\nc"]
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 30))) for _ in range(150)] + ["", None, "word " * 100000, "tie tie tie", "tie tie tie"]
+    marked = np.sort(K.words(pa.array(["dolt"])).hash)
+    rules = [R.Rule(((8, True, 1.0),), 0.9, 1), R.Rule(((5, False, 0.4), (0, True, 3.0)), 0.8, 1), R.Rule(((4, True, 0.1), (2, False, 0.5)), 0.7, 1)]
+    docs = spark.createDataFrame([(i, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, n_words double")
+    got = {r.doc_id: r for r in R.judged(docs, None, R.RuleList(rules, marked)).collect()}
+    for i, t in enumerate(texts):
+        x = np.array(naive_features(t, ["dolt"]))
+        want = -1 if x[0] == 0 else next((k for k, r in enumerate(rules, 1) if all(x[f] >= c if up else x[f] < c for f, up, c in r.conditions)), 0)
+        assert (got[i].rule, got[i].keep) == (want, want == 0), t
