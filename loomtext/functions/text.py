@@ -164,6 +164,14 @@ def same_bytes(a: Column, b: Column) -> Column:
     return a == b
 
 
+def valid_title(c: Column, language: str = "English") -> Column:
+    """Long enough, five characters in Chinese and more than five words else, and
+    less than half digits."""
+    t = F.trim(c)
+    enough = F.length(t) >= 5 if language == "Chinese" else F.size(F.split(t, r"\s+")) > 5
+    return F.coalesce(enough & (F.regexp_count(t, F.lit(r"\p{Nd}")) * 2 < F.length(t)), F.lit(False))
+
+
 def without_marks(c: Column) -> Column:
     """Letters, digits and blanks only."""
     return F.regexp_replace(c, r"[\p{P}\p{S}]", "")

@@ -16,7 +16,8 @@ from loomtext.operators.dom import Node, parse
 from loomtext.operators.frames import mapped
 
 DATE = r"[0-9]{4}[0-9-/:. 年月日T]*[0-9日]"
-DATE_UNITS = "0123456789分钟前小时秒半天昨年月日期间发表于布稿出:：/-.更新上线星期周"
+#: digits and marks, units of time, of dates, words around them; each occurrence counts
+DATE_UNITS = "".join(("0123456789", ":：/-.", "秒分钟小时半天周星期", "年月日期", "昨前间", "布发表于出稿更新上线"))
 STOP_PHRASES = ("Copyright", "版权", "网站地图", "不得转载", "关于我们")
 PARITY_TAGS = ("div",)
 BLOCK_TAGS = ("div", "article", "section", "main", "td")

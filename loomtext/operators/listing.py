@@ -11,6 +11,7 @@ are scored and combined.
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import json
 import math
@@ -45,6 +46,7 @@ class Strategy:
     best_media: int = 4
     best_author: int = 3
     empty_score: float = 200.0
+    today: datetime.date | None = None
 
 
 STRATEGIES = {
@@ -185,6 +187,120 @@ def _length_factor(n: int, best: int) -> float:
     return 0.4 + 0.35 * (3 - rate) if rate <= 3 else 1 / 3
 
 
+_DAY = re.compile(r"(\d{4}|\d{2})\s*[-/年.]\s*(\d{1,2})\s*[-/月.]\s*(\d{1,2})")
+_AGO = re.compile(r"(\d+)\s*(分钟|小时|天)前")
+
+
+def days_back(text: str, today: datetime.date) -> float | None:
+    """How many days before ``today`` a date text lies; null if it is none."""
+    if m := _DAY.search(text):
+        year = int(m[1]) + (2000 if len(m[1]) == 2 else 0)
+        try:
+            return abs((today - datetime.date(year, int(m[2]), int(m[3]))).days)
+        except ValueError:
+            return None
+    if m := _AGO.search(text):
+        return int(m[1]) / {"分钟": 1440, "小时": 24, "天": 1}[m[2]]
+    return 2.0 if "前天" in text else 1.0 if "昨天" in text else None
+
+
+def nearness(days: float) -> float:
+    """2 for today down to 1.5 for a day, 1 for a week and 0.3 from half a year on."""
+    if days > 180:
+        return 0.3
+    if days > 7:
+        return 1.0 - 0.7 * (days - 7) / 173
+    return 1.5 - 0.5 * (days - 1) / 6 if days > 1 else 2.0 - 0.5 * days
+
+
+def date_score(nodes: list[Node], bases: int, level: int, named: bool, today: datetime.date | None) -> float:
+    """Dates on a third of the bases or more: their share, how near they are
+    (twice as near with a time of day, nearer yet under a fitting name), less
+    0.2 for each step beyond the first. Without ``today`` the days don't count."""
+    texts = [n.clean_text() for n in nodes]
+    dates = [t for t in texts if len(t) < 40 and _DATE.search(t)]
+    if len(dates) * 3 < bases:
+        return 0.0
+    score = min(1.0, len(dates) / bases)
+    names = name_score(nodes[0], ("date", "time"), ())
+    if today is not None and (back := [d for t in dates if (d := days_back(t, today)) is not None]):
+        mean = sum(back) / len(back) / (2 if any(re.search(r"\d{1,2}:\d{2}", t) for t in dates) else 1)
+        score *= nearness(mean / max(names, 1e-9))
+    else:
+        score *= names
+    return score * max(0.2, 1 - 0.2 * max(0, level - 1)) * (1.2 if named else 1.0)
+
+
+def counter_scores(nodes: list[Node], level: int, named: bool, s: Strategy) -> tuple[float, float]:
+    """(view, reply) of a path whose texts are one or two numbers and little else.
+
+    One number each counts half more (a fifth more if they may be days of a
+    month); two count double, or 0.8 where they may be month and day. A word or
+    a name for replies rules views out; news pay replies less, forums views."""
+    texts = [n.clean_text() for n in nodes]
+    if any(c in "年月日前昨:" for t in texts for c in t):
+        return 0.0, 0.0
+    plain = sum(sum(c.isdigit() or c in " ,/|()[]" for c in _REPLY.sub("", t)) / max(1, len(_REPLY.sub("", t))) for t in texts) / len(texts)
+    numbers = [re.findall(r"\d+", t.replace(",", "")) for t in texts]
+    if not 0.8 <= plain <= 1 or not all(1 <= len(x) <= 2 for x in numbers):
+        return 0.0, 0.0
+    value = [[int(v) for v in x] for x in numbers]
+    if all(len(x) == 1 for x in value):
+        score = plain * (1.2 if all(x[0] <= 31 for x in value) else 1.5)
+    else:
+        score = plain * (0.8 if all(len(x) == 2 and x[0] <= 12 and x[1] <= 31 for x in value) else 2.0)
+    score *= max(0.1, 1 - 0.1 * max(0, level - 1)) * (1.2 if named else 1.0)
+    forced = any(_REPLY.search(t) for t in texts) or name_score(nodes[0], ("rep", "comment"), ()) > 1
+    reply = score * name_score(nodes[0], ("rep", "comment"), ("view",)) * (0.8 if s.media == "news" else 1.0)
+    view = 0.0 if forced else score * name_score(nodes[0], ("view", "click", "hit", "read"), ("rep",)) * (0.8 if s.media == "forum" else 1.0)
+    return view, reply
+
+
+_ENGLISH = re.compile(r"[A-Za-z]{2}")
+_SEPARATED = re.compile(r"[,，、/|]")
+_SURNAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严")
+
+
+def _bare(t: str) -> int:
+    return sum(not c.isspace() for c in t)
+
+
+def media_score(nodes: list[Node], s: Strategy) -> float:
+    """Names of sources: a label makes one, as do the endings that they have;
+    dates, separators and, in Chinese lists, English words speak against."""
+
+    def one(n: Node) -> float:
+        t = n.clean_text()
+        p = 0.1 if s.media == "news" else 0.0
+        p = 1.0 if _MEDIA_WORDS.search(t) or _MEDIA_ENDS.search(t) else 0.8 if p and _bare(t) >= 2 and not t.isdigit() and s.language == "Chinese" else p
+        p *= 0.3 if _DATE.search(t) else 1.0
+        p *= name_score(n, ("source", "media", "from"), ("date", "time")) * _length_factor(_bare(t), s.best_media)
+        p *= 0.6 if _SEPARATED.search(t) else 1.0
+        p *= 0.6 if s.language == "Chinese" and _ENGLISH.search(t) else 1.0
+        return p / 2 if s.media == "forum" else p
+
+    return sum(map(one, nodes)) / len(nodes)
+
+
+def author_score(nodes: list[Node], s: Strategy) -> float:
+    """Names of people: a label makes one, a common surname helps; a name for
+    replies rules it out."""
+
+    def one(n: Node) -> float:
+        t = n.clean_text()
+        names = (n.attrs.get("id", "") + n.attrs.get("class", "")).lower()
+        if "rep" in names:
+            return 0.0
+        p = 1.0 if _AUTHOR_WORDS.search(t) else 0.2 if s.media == "forum" else 0.0
+        if s.language == "Chinese" and t:
+            p *= 1.1 if t[0] in _SURNAMES else 0.6
+        p *= name_score(n, ("author", "user", "name"), ("reply", "date")) * _length_factor(_bare(t), s.best_author)
+        p *= 1.5 if s.media == "forum" and re.search("[A-Za-z0-9]", t) else 1.0
+        return p * (0.6 if _SEPARATED.search(t) else 1.0)
+
+    return sum(map(one, nodes)) / len(nodes)
+
+
 def field_scores(nodes: list[Node], bases: int, level: int, named: bool, s: Strategy) -> dict[str, float]:
     """Score of one relative path for each field; its nodes are one for a base at most."""
     texts = [n.clean_text() for n in nodes]
@@ -192,34 +308,11 @@ def field_scores(nodes: list[Node], bases: int, level: int, named: bool, s: Stra
         return {}
     cover = min(1.0, len(texts) / bases)
     factor = 500 * cover * max(0.2, 1 - 0.1 * max(0, level - 1)) * (1.2 if named else 1.0)
+    view, reply = counter_scores(nodes, level, named, s)
+    dates = sum(bool(_DATE.search(t)) and len(t) < 40 for t in texts) / len(texts)
+    out = {"DateXPath": 500 * date_score(nodes, bases, level, named, s.today), "ViewXPath": 500 * cover * view, "ReplyXPath": 500 * cover * reply}
+    out["MediaNameXPath"], out["AuthorXPath"] = factor * media_score(nodes, s), factor * author_score(nodes, s)
     mean = lambda f: sum(map(f, texts)) / len(texts)
-    out: dict[str, float] = {}
-    dates = mean(lambda t: bool(_DATE.search(t)) and len(t) < 40)
-    if dates >= 1 / 3:
-        out["DateXPath"] = factor * dates * 1.5 * max(0.2, 1 - 0.2 * max(0, level - 1)) * name_score(nodes[0], ("date", "time"), ())
-    numbers = [re.findall(r"\d+", t.replace(",", "")) for t in texts]
-    plain = mean(lambda t: sum(c.isdigit() or c in " ,/|()" for c in t) / max(1, len(t)))
-    if not any(c in "年月日前昨" for t in texts for c in t) and dates < 0.2 and 0.8 <= plain <= 1 and all(1 <= len(x) <= 2 for x in numbers):
-        one = factor * plain * (1.2 if all(int(x[0]) <= 31 for x in numbers) else 1.5)
-        reply = any(_REPLY.search(t) for t in texts) or name_score(nodes[0], ("rep", "comment"), ()) > 1
-        out["ReplyXPath"] = one * name_score(nodes[0], ("rep", "comment"), ("view",)) * (0.8 if s.media == "news" else 1)
-        if not reply:
-            out["ViewXPath"] = one * name_score(nodes[0], ("view", "click", "hit", "read"), ("rep",)) * (0.8 if s.media == "forum" else 1)
-    words = lambda t: sum(not c.isspace() for c in t)
-
-    def media(t: str) -> float:
-        p = 1.0 if _MEDIA_WORDS.search(t) else 0.8 if _MEDIA_ENDS.search(t) else 0.1 if s.media == "news" else 0.0
-        p *= 0.3 if _DATE.search(t) else 1.0
-        p *= 0.6 if re.search(r"[,，、/|]", t) else 1.0
-        return p * _length_factor(words(t), s.best_media) * (0.5 if s.media == "forum" else 1.0)
-
-    def author(t: str) -> float:
-        p = 1.0 if _AUTHOR_WORDS.search(t) else 0.2 if s.media == "forum" else 0.0
-        p *= 0.6 if re.search(r"[,，、/|]", t) else 1.0
-        return p * _length_factor(words(t), s.best_author)
-
-    out["MediaNameXPath"] = factor * mean(media) * name_score(nodes[0], ("source", "media", "from"), ("date", "time"))
-    out["AuthorXPath"] = factor * mean(author) * name_score(nodes[0], ("author", "user", "name"), ("reply", "date"))
     length = mean(len)
     if length > 60 and dates < 0.5:
         out["AbsTractXPath"] = factor * min(1.0, length / 200) * name_score(nodes[0], ("desc", "abstract", "summary", "intro"), ())

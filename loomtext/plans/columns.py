@@ -12,7 +12,7 @@ from loomtext.functions import nodes as N
 from loomtext.functions import paths as P
 from loomtext.functions import similarity
 from loomtext.functions import text as T
-from loomtext.operators import charset, evaluate, features, items, listing, paging, reflow, svm, wrapper, xpath
+from loomtext.operators import charset, evaluate, features, frames, items, listing, paging, reflow, svm, wrapper, xpath
 from loomtext.operators.dom import node_table
 from loomtext.plans.queries import CN, q, query, table
 from loomtext.runtime import scratch
@@ -444,3 +444,28 @@ def discovered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = listing.crawl_items(table(spark, sf_dir, "pages"))
     ok = listing.validated(x)
     return x.join(ok, "page_id").where("valid").select("page_id", "item_no", "title", "valid")
+
+
+_PAGE_TITLE = "trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))"
+
+
+@query(
+    f"SELECT page_id, len(string_split_regex(t, '\\s+')) > 5 AND length(regexp_replace(t, '[^0-9]', '', 'g')) * 2 < length(t) AS english, length(t) >= 5 AND length(regexp_replace(t, '[^0-9]', '', 'g')) * 2 < length(t) AS chinese FROM (SELECT page_id, {_PAGE_TITLE} AS t FROM pages)"
+)
+def valid_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", T.valid_title(t).alias("english"), T.valid_title(t, "Chinese").alias("chinese"))
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 4 = 0 THEN -1 WHEN page_id % 4 = 1 THEN 10 ELSE page_id % 7 END AS INT) AS value, page_id % 4 = 0 AS failed FROM pages")
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a function that fails on every fourth page: the job goes on, the
+    row says why."""
+    k = F.col("page_id")
+    text = F.when(k % 4 == 0, "none").when(k % 4 == 1, "10").otherwise((k % 7).cast("string"))
+    x = frames.attempted(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), _number, "value int")
+    return x.select("page_id", F.coalesce("value", F.lit(-1)).alias("value"), (F.col("error").isNotNull() & F.startswith("error", F.lit("ValueError"))).alias("failed"))
+
+
+def _number(row: dict) -> dict:
+    return {"value": int(row["text"])}

@@ -2,11 +2,12 @@ import difflib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import nodes as N
 from loomtext.functions import similarity as S
-from loomtext.operators import features, listing, svm
+from loomtext.operators import features, frames, items, listing, svm
 from loomtext.operators.dom import node_table, parse
 
 PAGE = "<html><body><ul><li id=a><a href=x>1</a><a href=y>2</a></li><li><b>3</b></li></ul><p>4</p></body></html>"
@@ -64,3 +65,45 @@ def test_validation_kernels_and_splits(spark):
         assert all(abs(r.value - k[r.row, r.column]) < 1e-9 for r in svm.kernel_table(df, df, 0.7, most_columns=most).collect())
     a, b = svm.split(df, "id", 0.5)
     assert a.count() + b.count() == 5
+
+
+def test_field_scores_by_hand():
+    import datetime
+
+    s = listing.Strategy(today=datetime.date(2024, 5, 3))
+    make = lambda *texts, c="": [parse(f'<b class="{c}">{t}</b>').children[0] for t in texts]
+    near, far = make("2024-05-01", "2024-05-02"), make("2021-05-01", "2020-05-02")
+    assert listing.date_score(near, 2, 1, False, s.today) > listing.date_score(far, 2, 1, False, s.today) == pytest.approx(0.3)
+    assert listing.date_score(near, 2, 2, True, s.today) == pytest.approx(listing.date_score(near, 2, 1, False, s.today) * 0.8 * 1.2)
+    assert listing.date_score(near[:1], 4, 1, False, None) == 0 and listing.date_score(near, 4, 1, False, None) == 0.5
+    assert listing.nearness(0) == 2 and listing.nearness(1) == 1.5 and listing.nearness(7) == 1 and listing.nearness(181) == 0.3
+    assert listing.days_back("3小时前", s.today) == 0.125 and listing.days_back("昨天", s.today) == 1 and listing.days_back("2024-13-40", s.today) is None
+    view, reply = listing.counter_scores(make("120", "75"), 1, False, s)
+    assert view == 1.5 and reply == pytest.approx(1.2)
+    assert listing.counter_scores(make("5", "31"), 1, False, s)[0] == pytest.approx(1.2)
+    assert listing.counter_scores(make("120/4", "75/88"), 1, False, s)[0] == 2 and listing.counter_scores(make("5/4", "7/8"), 1, False, s)[0] == pytest.approx(0.8)
+    assert listing.counter_scores(make("5月4"), 1, False, s) == (0, 0) and listing.counter_scores(make("1 2 3"), 1, False, s) == (0, 0)
+    assert listing.counter_scores(make("12", c="replies"), 1, False, s)[0] == 0
+    assert listing.media_score(make("Source: Daily"), s) > listing.media_score(make("Source: Daily 2024-05-01"), s) > 0
+    assert listing.author_score(make("by: Ann"), s) > listing.author_score(make("by: Ann, Bob"), s) > 0 == listing.author_score(make("by: Ann", c="rep"), s)
+
+
+def test_failed_rows_say_why(spark):
+    df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "i long, t string")
+    got = {r.i: (r.v, r.error) for r in frames.attempted(df, lambda r: {"v": 10 // int(r["t"])}, "v long").collect()}
+    assert got[1] == (2, None) and got[2][0] is None and got[2][1].startswith("ValueError") and got[3][1].startswith("TypeError")
+
+
+def test_fields_across_pages(spark):
+    pages = [(i, "s", f"<div class='k'><h1>Title {i}</h1><i>2024-05-{i + 10}</i><p>body {i}</p></div>") for i in range(4)] + [(9, "t", "<p>none</p>")]
+    df = spark.createDataFrame(pages, "page_id long, site string, html string")
+    nodes, sites = node_table(df), df.select("page_id", "site")
+    assert [tuple(r) for r in items.date_paths(nodes, sites).collect()] == [("s", "/div/i", 4, 1.0)]
+    wanted = df.select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("wanted"))
+    found = items.string_paths(nodes, sites, wanted)
+    assert [(r.site, r.path, r.pages) for r in found.collect()] == [("s", "/div/h1", 4)]
+    near = items.combined_paths(found, spark.createDataFrame([("s", "/div/p"), ("s", "/x")], "site string, path string")).collect()
+    assert [(r.content, r.depth) for r in near] == [("/div/p", 1), ("/x", 0)]
+    named = items.nearest_named(nodes.where("page_id = 0"))
+    assert named.select("named_id").distinct().count() == 1
+    assert items.date_paths(nodes.limit(0), sites).count() == 0
