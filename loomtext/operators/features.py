@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import weighted_length
+from loomtext.operators.svm import Model, scored
 
 NUMERIC = ("count", "mean_length", "length_spread", "digit_share", "date_share", "mark_share", "distinct_share", "link_share", "mean_depth")
 KEYWORDS = ("来源", "作者", "编辑", "回复", "评论", "查看", "点击", "阅读", "发表", "昨天", "分钟", "小时", "更多", "下一页", "reply", "view", "author", "posted", "comment", "source")
@@ -51,3 +52,17 @@ def link_nodes(node_table: DataFrame) -> DataFrame:
     x = node_table.where("tag = 'a' and attrs['href'] is not null")
     names = F.concat_ws(" ", F.col("attrs")["id"], F.col("attrs")["class"])
     return x.select("page_id", F.regexp_replace("xpath", r"\[[0-9]+\]", "").alias("pattern"), F.trim("text").alias("text"), F.col("attrs")["href"].alias("href"), names.alias("names"), "depth")
+
+
+#: what the classes of a relation model stand for
+RELATIONS = {2: "AuthorXPath", 3: "AbsTractXPath", 4: "DateXPath", 5: "MediaNameXPath", 6: "ViewXPath"}
+
+
+def relation_scores(rows: DataFrame, model: Model, relations: dict[int, str] | None = None, keys: Sequence[str] = ("page_id", "pattern")) -> DataFrame:
+    """The keys, field and score of rows with ``features``: 500 times the
+    probability of each class of a model trained with probabilities. Classes
+    that stand for no field have no row."""
+    names = relations or RELATIONS
+    x = scored(rows.select(*keys, "features"), model, probability=True)
+    pairs = F.array(*(F.struct(F.lit(names[k]).alias("field"), (F.element_at("probability", i + 1) * 500).alias("score")) for i, k in enumerate(model.labels) if k in names))
+    return x.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.field", "x.score")

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomtext.operators.article import DATE_UNITS
 from loomtext.operators.dom import Node, parse
@@ -340,6 +341,29 @@ def combination(scores: dict[str, dict[str, float]], views: dict[str, float], s:
     return best[1], best[0]
 
 
+def compositions(scores: DataFrame, strategy: Strategy | None = None) -> DataFrame:
+    """page_id, field, path, score, total: the best choice of a path for each
+    field of scored paths (page_id, pattern, field, score), by the rules of
+    ``combination``. A page's paths come to one task; there are as many as its
+    list items have nodes. Fields that no path is worth have no row."""
+    s = strategy or Strategy()
+    schema = pa.schema([("page_id", pa.int64()), ("field", pa.string()), ("path", pa.string()), ("score", pa.float64()), ("total", pa.float64())])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page_id, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by: dict[str, dict[str, float]] = defaultdict(dict)
+                for r in rows:
+                    by[r["field"]][r["pattern"]] = max(r["score"], by[r["field"]].get(r["pattern"], 0.0))
+                chosen, total = combination(by, by.get("ViewXPath", {}), s)
+                out += [dict(zip(schema.names, (page_id, k, p, by[k][p], total))) for k, p in sorted(chosen.items())]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    some = scores.where("score > 0 and pattern <> ''").select(F.col("page_id").cast("long"), F.struct("pattern", "field", F.col("score").cast("double").alias("score")).alias("r"))
+    return mapped(some.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows")), f, "page_id long, field string, path string, score double, total double")
+
+
 def find_fields(bases: list[Node], titles: set[int], s: Strategy) -> tuple[dict[str, str], float]:
     candidates: dict[str, list[Node]] = defaultdict(list)
     for b in bases:

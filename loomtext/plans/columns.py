@@ -469,3 +469,15 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _number(row: dict) -> dict:
     return {"value": int(row["text"])}
+
+
+_CHOICES = "(SELECT page_id, field, './' || field || CAST(k AS VARCHAR) AS path, CAST(100 + (page_id * 37 + k * 101 + length(field) * 13) % 500 AS DOUBLE) AS score FROM pages, (SELECT unnest(['DateXPath', 'AuthorXPath', 'MediaNameXPath']) AS field), (SELECT unnest([1, 2, 3]) AS k))"
+
+
+@query(f"SELECT page_id, field, max_by(path, score) AS path, max(score) AS score FROM {_CHOICES} GROUP BY page_id, field HAVING max(score) > 200")
+def field_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored paths of three fields, the best choice for each page."""
+    x = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*map(F.lit, ("DateXPath", "AuthorXPath", "MediaNameXPath")))).alias("field"))
+    x = x.select("page_id", "field", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
+    score = (100 + (F.col("page_id") * 37 + F.col("k") * 101 + F.length("field") * 13) % 500).cast("double")
+    return listing.compositions(x.select("page_id", F.concat(F.lit("./"), F.col("field"), F.col("k").cast("string")).alias("pattern"), "field", score.alias("score"))).select("page_id", "field", "path", "score")

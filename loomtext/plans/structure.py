@@ -293,7 +293,7 @@ def link_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pattern_features(features.link_nodes(node_table(_pages(spark, sf_dir))))
 
 
-@query()
+@query(r"SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"[^\"]*\">[^<]*</a></li>')) >= 3 AS valid FROM pages WHERE len(regexp_extract_all(html, '<li><a href=\"[^\"]*\">[^<]*</a></li>')) > 1")
 def valid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.validated(listing.crawl_items(_pages(spark, sf_dir)))
 

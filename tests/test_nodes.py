@@ -107,3 +107,19 @@ def test_fields_across_pages(spark):
     named = items.nearest_named(nodes.where("page_id = 0"))
     assert named.select("named_id").distinct().count() == 1
     assert items.date_paths(nodes.limit(0), sites).count() == 0
+
+
+def test_relations_by_a_model_and_their_composition(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 0.3, (30, 2)) for m in ((0, 0), (2, 0), (0, 2))])
+    y = np.repeat([4, 2, 9], 30)
+    m = svm.train(x, y, svm.Parameter(gamma=0.5, C=4.0, probability=True))
+    rows = spark.createDataFrame([(1, "./a", [0.0, 0.1]), (1, "./b", [2.0, 0.0]), (2, "./c", [0.0, 2.0])], "page_id long, pattern string, features array<double>")
+    scores = features.relation_scores(rows, m)
+    assert {r.field for r in scores.collect()} == {"DateXPath", "AuthorXPath"}
+    got = {(r.page_id, r.field): r.path for r in listing.compositions(scores).collect()}
+    assert got == {(1, "DateXPath"): "./a", (1, "AuthorXPath"): "./b"}
+    # one path is not two fields
+    two = spark.createDataFrame([(1, "./a", "DateXPath", 400.0), (1, "./a", "AuthorXPath", 450.0), (1, "./b", "DateXPath", 300.0)], "page_id long, pattern string, field string, score double")
+    assert {(r.field, r.path) for r in listing.compositions(two).collect()} == {("AuthorXPath", "./a"), ("DateXPath", "./b")}
+    assert listing.compositions(two.limit(0)).count() == 0
