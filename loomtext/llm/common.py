@@ -6,6 +6,7 @@ rows that are equal in both count as one document wherever rows are joined.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from loomtext.runtime import ship
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -35,9 +38,31 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
+    """``mapInArrow`` with this package on the executors.
+
+    Batches end at ``BATCH_BYTES``, unless the session has a bound of its own, as
+    10,000 texts may be of any size. Python workers outlive their tasks, so each
+    gives back the free memory it holds when a task ends.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    if df.sparkSession.conf.get(BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(g, schema)
+
+
+def release() -> None:
+    """Return the free memory of Arrow's pool and of the C heap to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def batch(**columns) -> pa.RecordBatch:
