@@ -7,10 +7,10 @@ minima are candidates of each other: at a resemblance of 0.1 with probability
 nearest ``NEIGHBOURS`` of a node are its neighbours in the graph, however far
 they are.
 
-A key that more than ``DENSE`` nodes have is split by another minimum of the
-nodes, so that those which agree in more stay together, and once more by a hash
-if need be. Every node is compared in each of its keys; only what is compared
-with what then follows the density.
+Every node is compared with every other one that has one of its keys, however
+many those are. Where more than ``DENSE`` nodes have a key, they are cut in
+chunks of about that size and each pair of chunks is compared by itself, so a
+common key asks for more tasks and not for more memory.
 
 Labels that spread to the least neighbour for ``ROUNDS`` rounds make clusters,
 and clusters make parts of about ``PART`` nodes. Each part of the graph is
@@ -37,8 +37,10 @@ from loomtext.llm.common import batch, column, keyed, mapped, text_column, whole
 from loomtext.runtime import drop, written
 
 BINS, KEYS, NEIGHBOURS = 64, 32, 4
-DENSE, PART, ROUNDS = 256, 16_384, 3
+DENSE, PART, ROUNDS = 8192, 16_384, 3
 WINDOW, SHARD = 16_384, 1 << 28
+#: Groups of up to FEW nodes are compared together, larger ones in blocks of about BLOCK pairs.
+FEW, BLOCK = 32, 1 << 16
 U64 = np.uint64
 
 
@@ -98,30 +100,59 @@ def equal_bins(s: np.ndarray, i, j) -> np.ndarray:
     return total
 
 
-def nearest_in(key: np.ndarray, s: np.ndarray, nid: np.ndarray, k: int, least: int = 0) -> tuple[np.ndarray, ...]:
+def planes(s: np.ndarray) -> np.ndarray:
+    """uint64 [4, rows]: plane p holds bit p of all 64 bins of sketches s[:, row],
+    so that the bins which differ are the union of four xors."""
+    low = U64(0x1111111111111111)
+    return np.stack([sum(((s[k] >> U64(p)) & low) << U64(k) for k in range(4)) for p in range(4)])
+
+
+def _nearest_of(p: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, other, agreeing bins) for each of ``rows`` its k nearest ``others``
+    but itself; the first of ``others`` wins a tie. A block of rows at a time."""
+    height = max(1, BLOCK // len(others))
+    at = p[:, others]
+    for lo in range(0, len(rows), height):
+        i = rows[lo : lo + height]
+        differ = p[0][i][:, None] ^ at[0]
+        x = np.empty_like(differ)
+        for q in range(1, 4):
+            differ |= np.bitwise_xor(p[q][i][:, None], at[q], out=x)
+        e = np.int8(BINS) - np.bitwise_count(differ).view(np.int8)
+        e[i[:, None] == others] = -1
+        each = np.arange(len(i))
+        for _ in range(min(k, len(others))):
+            j = e.argmax(axis=1)
+            best = e[each, j]
+            ok = best >= max(least, 0)
+            yield i[ok], others[j[ok]], best[ok].astype(np.int16)
+            e[each, j] = -1
+
+
+def nearest_in(key: np.ndarray, s: np.ndarray, nid: np.ndarray, k: int, least: int = 0, side: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each row its k nearest of those with the same key (rows sorted by
     key) and at least ``least`` agreeing bins: (row, other, agreeing bins). All
-    pairs are compared; only the nearest are held."""
+    pairs are compared; only the nearest are held. Rows of one ``side`` (0 or 1)
+    pair only with the other; those of side -1 with each other."""
     n = len(key)
+    side = np.full(n, -1, dtype=np.int32) if side is None else side
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, n])
     out: list[tuple[np.ndarray, ...]] = []
-    end = np.repeat(np.where(size <= 256, start + size, 0), size)
+    end = np.repeat(np.where(size <= FEW, start + size, 0), size)
     at, step = np.arange(n), 1
     while len(at := at[at + step < end[at]]):
         e = equal_bins(s, at, at + step)
-        ok = e >= least
+        ok = (e >= least) & ((side[at] < 0) | (side[at] != side[at + step]))
         out += [(at[ok], at[ok] + step, e[ok]), (at[ok] + step, at[ok], e[ok])]
         step += 1
-    for a, m in zip(start[size > 256], size[size > 256]):
-        rows = np.arange(a, a + m)
-        for i in rows:
-            e = equal_bins(s, i, rows)
-            e[i - a] = -1
-            best = rows[e >= least]
-            if len(best) > k:
-                best = best[np.lexsort((nid[best], -e[best - a]))[:k]]
-            out.append((np.full(len(best), i), best, e[best - a]))
+    p = planes(s)
+    for a, m in zip(start[size > FEW], size[size > FEW]):
+        rows = a + np.argsort(nid[a : a + m])
+        for own, other in ((-1, -1), (0, 1), (1, 0)):
+            i, j = rows[side[rows] == own], rows[side[rows] == other]
+            if len(i) and len(j):
+                out += _nearest_of(p, i, j, k, least)
     if not out:
         return (np.zeros(0, np.int64),) * 3
     i, j, e = (np.concatenate(x) for x in zip(*out))
@@ -148,23 +179,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return x.withColumn("nid", F.when(F.col("words") > 0, F.xxhash64("s0", "s1", "s2", "s3")).otherwise(F.xxhash64("rid", F.lit("wordless"))))
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """``rows`` with how many have their key, those that are alone left out: by
-    a count and a join, which splits a hot key as a window could not."""
-    n = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(n, "key")
+def candidates(nodes: DataFrame) -> DataFrame:
+    """key, nid, n: the keys of nodes (nid, m) that n > 1 nodes have. By a count
+    and a join, which splits a hot key as a window could not."""
+    rows = nodes.select(F.explode("m").alias("key"), "nid")
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def candidates(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
-    """key, nid: groups to compare nodes (nid, m) in."""
-    other = lambda key: F.element_at("m", (F.pmod(key, F.lit(KEYS)) + 1).cast("int"))
-    each = F.transform("m", lambda key: F.struct(key.alias("key"), other(key).alias("salt")))
-    rows = _sized(nodes.select(F.explode(each).alias("x"), "nid").select("x.key", "nid", "x.salt"))
-    few = rows.where(F.col("n") <= dense).select("key", "nid")
-    split = rows.where(F.col("n") > dense).select(F.xxhash64("key", F.pmod("salt", F.ceil(F.col("n") / (dense // 2)))).alias("key"), "nid")
-    split = _sized(split)
-    again = F.when(F.col("n") > 4 * dense, F.xxhash64("key", F.pmod(F.xxhash64("nid"), F.ceil(F.col("n") / dense)))).otherwise(F.col("key"))
-    return few.unionByName(split.select(again.alias("key"), "nid"))
+def chunked(rows: DataFrame, dense: int = DENSE) -> DataFrame:
+    """``rows`` (key, nid, n and others) with ``side``: the groups to compare
+    them in. A key that more than ``dense`` have is cut in chunks, and each pair
+    of its chunks becomes a key with the chunks as sides 0 and 1, or -1 for a
+    chunk with itself: all pairs of a key meet in just one group."""
+    one = F.col("n") <= dense
+    rows = rows.withColumn("chunks", F.ceil(F.col("n") / F.lit(dense)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumn("side", F.when(F.col("chunk") == F.col("other"), -1).otherwise((F.col("chunk") > F.col("other")).cast("int")))
+    rows = rows.withColumn("key", F.when(one, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))))
+    return rows.drop("n", "chunks", "chunk", "other")
 
 
 def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, dense: int = DENSE) -> DataFrame:
@@ -174,10 +207,12 @@ def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, dense: int = DENSE) -> Dat
         for t in whole_groups(batches, "key"):
             s = np.stack([column(t, f"s{i}").view(U64) for i in range(4)])
             nid = column(t, "nid")
-            i, j, e = nearest_in(column(t, "key"), s, nid, k)
+            i, j, e = nearest_in(column(t, "key"), s, nid, k, side=column(t, "side"))
             yield batch(a=pa.array(nid[i]), b=pa.array(nid[j]), equal=pa.array(e.astype(np.int32)))
 
-    rows = candidates(nodes, dense).join(nodes.select("nid", "s0", "s1", "s2", "s3"), "nid").select("key", "nid", "s0", "s1", "s2", "s3")
+    # chunks are made of joined rows, so only the last shuffle has their copies
+    rows = candidates(nodes).join(nodes.select("nid", "s0", "s1", "s2", "s3"), "nid")
+    rows = chunked(rows, dense).select("key", "side", "nid", "s0", "s1", "s2", "s3")
     found = mapped(rows.repartition("key").sortWithinPartitions("key"), f, "a long, b long, equal int").distinct()
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("equal"), "b"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -90,6 +90,50 @@ def test_documents_that_share_a_passage_are_neighbours(spark):
     assert sum(any(r(i, j) >= 0.8 * best[i] for j in got.get(i, [])) for i in ids) >= 0.9 * len(best)
 
 
+def in_common_keys(seed=31, n=330):
+    """Texts of which all share one passage and every tenth another one: keys that more than 256 nodes have."""
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(3000)]
+    everywhere, some = rnd.choices(vocab, k=60), [rnd.choices(vocab, k=25) for _ in range(n // 10)]
+    return [" ".join(rnd.choices(vocab, k=20) + everywhere + some[i % len(some)] + rnd.choices(vocab, k=rnd.randint(5, 40))) for i in range(n)]
+
+
+def nearest_by_brute_force(rows, k=P.NEIGHBOURS):
+    """(a, b, equal): the k nearest of all nodes (nid, s0..s3, m) that have one of a's keys; and the size of the largest key."""
+    s = np.array([[r.s0, r.s1, r.s2, r.s3] for r in rows], dtype=np.int64).T.copy().view(np.uint64)
+    nid, keys, has = [r.nid for r in rows], [set(r.m) for r in rows], {}
+    for i, own in enumerate(keys):
+        for key in own:
+            has.setdefault(key, set()).add(i)
+    want = set()
+    for i, own in enumerate(keys):
+        others = sorted(set().union(*(has[key] for key in own)) - {i})
+        best = sorted((-int(e), nid[j]) for e, j in zip(P.equal_bins(s, i, np.array(others, dtype=np.int64)), others))[:k]
+        want |= {(nid[i], b, -e) for e, b in best}
+    return want, max(map(len, has.values()))
+
+
+def test_neighbours_in_common_keys_equal_brute_force(spark):
+    """No candidate is lost in a key of many nodes, whole or in pairs of chunks."""
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(in_common_keys())], SCHEMA)
+    nodes = P.sketches(docs).groupBy("nid", "s0", "s1", "s2", "s3").agg(F.min("m").alias("m")).cache()
+    want, largest = nearest_by_brute_force(nodes.collect())
+    assert largest > 256
+    for dense in (P.DENSE, 100, 3):
+        assert {(r.a, r.b, r.equal) for r in P.neighbours(nodes, dense=dense).collect()} == want
+    nodes.unpersist()
+
+
+def test_every_pair_of_a_key_meets_once(spark):
+    rows = [(key, nid, n) for key, n in ((1, 2), (2, 5), (3, 41)) for nid in range(n)]
+    got = {}
+    for r in P.chunked(spark.createDataFrame(rows, "key long, nid long, n long"), 5).collect():
+        got.setdefault(r.key, []).append((r.nid, r.side))
+    pairs = [(a, b) for x in got.values() for a, s in x for b, z in x if a < b and (s < 0 or s != z)]
+    assert sorted(pairs) == sorted((a, b) for n in (2, 5, 41) for b in range(n) for a in range(b))
+    assert len(got[1]) == 2 and len(got[2]) == 5
+
+
 def test_clusters_and_parts(spark):
     edges = [(i, i + 1) for i in range(0, 3)] + [(10, 11), (20, 21), (20, 22), (20, 23)]
     label, _ = P.clusters(spark.createDataFrame(edges, "a long, b long"), rounds=4)
