@@ -90,12 +90,12 @@ def test_documents_that_share_a_passage_are_neighbours(spark):
     assert sum(any(r(i, j) >= 0.8 * best[i] for j in got.get(i, [])) for i in ids) >= 0.9 * len(best)
 
 
-def in_common_keys(seed=31, n=330):
-    """Texts of which all share one passage and every tenth another one: keys that more than 256 nodes have."""
+def in_common_keys(seed=31, n=700):
+    """Texts that share one short passage and nothing else: keys that more than 256 nodes have, near only by it."""
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(3000)]
-    everywhere, some = rnd.choices(vocab, k=60), [rnd.choices(vocab, k=25) for _ in range(n // 10)]
-    return [" ".join(rnd.choices(vocab, k=20) + everywhere + some[i % len(some)] + rnd.choices(vocab, k=rnd.randint(5, 40))) for i in range(n)]
+    everywhere = rnd.choices(vocab, k=30)
+    return [" ".join(rnd.choices(vocab, k=20) + everywhere + rnd.choices(vocab, k=rnd.randint(5, 30))) for _ in range(n)]
 
 
 def nearest_by_brute_force(rows, k=P.NEIGHBOURS):

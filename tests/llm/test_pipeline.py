@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import langid, pii, simhash
+from loomtext.llm import langid, packing, pii, simhash
 from tests.llm.test_copies import SCHEMA, corpus, leaks, tokens
+from tests.llm.test_packing import in_common_keys, nearest_by_brute_force
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,22 @@ def test_run_and_empty_tables(spark, sf_dir, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "simhash near-dedup", "benchmark decontamination", "PII", "packing"]
+
+
+def test_packing_compares_all_that_share_a_passage(spark, monkeypatch):
+    """The last stage loses no neighbour where more than 256 documents share a key."""
+    got = []
+
+    def seen(nodes, **options):
+        edges = neighbours(nodes, **options)
+        got.append((nodes.collect(), {(r.a, r.b, r.equal) for r in edges.collect()}))
+        return edges
+
+    neighbours = packing.neighbours
+    monkeypatch.setattr(packing, "neighbours", seen)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(in_common_keys())], SCHEMA)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    ((nodes, edges),) = got
+    want, largest = nearest_by_brute_force(nodes)
+    assert largest > 256 and edges == want
+    assert sum(r.end_char - r.start_char for r in pieces) == docs.agg(F.sum("n_chars")).first()[0]
