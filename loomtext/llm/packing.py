@@ -1,11 +1,11 @@
 """Packing of related documents into windows of equal length.
 
 Documents get a sketch of ``BINS`` minima of 3-word shingle hashes, 4 bits of
-each kept; equal sketches are one node. Nodes that agree in one of ``KEYS`` whole
-minima are candidates of each other: at a resemblance of 0.1 with probability
-0.97, at 0.05 with 0.81. The share of equal bins ranks candidates, and the
-nearest ``NEIGHBOURS`` of a node are its neighbours in the graph, however far
-they are.
+each kept; equal sketches are one node. Each whole minimum is a key, and nodes
+that agree in any of them are candidates of each other: at a resemblance of 0.05
+with probability 0.96, at 0.02 with 0.73. Nodes that are no candidates agree in
+no minimum at all. The share of equal bins ranks candidates, and the nearest
+``NEIGHBOURS`` of a node are its neighbours in the graph, however far they are.
 
 Every node is compared with every other one that has one of its keys, however
 many those are. Where more than ``DENSE`` nodes have a key, they are cut in
@@ -36,7 +36,7 @@ from loomtext.llm import kernel as K
 from loomtext.llm.common import batch, column, keyed, mapped, text_column, whole_groups
 from loomtext.runtime import drop, written
 
-BINS, KEYS, NEIGHBOURS = 64, 32, 4
+BINS, NEIGHBOURS = 64, 4
 DENSE, PART, ROUNDS = 8192, 16_384, 3
 WINDOW, SHARD = 16_384, 1 << 28
 #: Groups of up to FEW nodes are compared together, larger ones in blocks of about BLOCK pairs.
@@ -171,8 +171,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             texts = text_column(b)
             m, words = minima(texts)
             s = packed(m)
-            keys = K.mix(m[:, :: BINS // KEYS] + np.arange(KEYS, dtype=U64) * U64(0x9E3779B97F4A7C15))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * keys.shape[1]), pa.array(K.signed(keys.ravel())))
+            keys = K.mix(m + np.arange(BINS, dtype=U64) * U64(0x9E3779B97F4A7C15))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * BINS), pa.array(K.signed(keys.ravel())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.utf8_length(texts).cast(pa.int64()), pa.array(words), *(pa.array(K.signed(np.ascontiguousarray(s[:, k]))) for k in range(4)), lists], names=["doc_id", "rid", "length", "words", "s0", "s1", "s2", "s3", "m"])
 
     x = mapped(keyed(docs), f, "doc_id long, rid long, length long, words long, s0 long, s1 long, s2 long, s3 long, m array<long>").where("length > 0")

@@ -124,6 +124,40 @@ def test_neighbours_in_common_keys_equal_brute_force(spark):
     nodes.unpersist()
 
 
+def little_alike(seed=41, n=240):
+    """Texts of which every four share a passage of some 15 words: many pairs agree in one or two minima only."""
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(3000)]
+    passages = [rnd.choices(vocab, k=15) for _ in range(n // 4)]
+    return [" ".join(rnd.choices(vocab, k=70) + passages[i % len(passages)] + rnd.choices(vocab, k=rnd.randint(40, 70))) for i in range(n)]
+
+
+def nearest_of_all_pairs(texts, rows, k=P.NEIGHBOURS):
+    """(a, b, equal): the k nearest of all texts that agree in any of the minima, by the texts themselves; ``rows`` only tell the nid."""
+    m, _ = P.minima(pa.array(texts))
+    s = P.packed(m)
+    nid = {(r.s0, r.s1, r.s2, r.s3): r.nid for r in rows}
+    nid = [nid[tuple(x)] for x in s.view(np.int64).tolist()]
+    want, s = set(), np.ascontiguousarray(s.T)
+    for i in range(len(texts)):
+        others = [j for j in np.flatnonzero((m == m[i]).any(axis=1)) if j != i]
+        best = sorted((-int(e), nid[j]) for e, j in zip(P.equal_bins(s, i, np.array(others, dtype=np.int64)), others))[:k]
+        want |= {(nid[i], b, -e) for e, b in best}
+    return want
+
+
+def test_any_minimum_in_common_makes_candidates(spark):
+    """No minimum is left out: neighbours equal those of all pairs, also where a pair agrees in one minimum only."""
+    texts = little_alike()
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    nodes = P.sketches(docs).groupBy("nid", "s0", "s1", "s2", "s3").agg(F.min("m").alias("m")).cache()
+    want = nearest_of_all_pairs(texts, nodes.collect())
+    assert len(want) > 400
+    for dense in (P.DENSE, 2):
+        assert {(r.a, r.b, r.equal) for r in P.neighbours(nodes, dense=dense).collect()} == want
+    nodes.unpersist()
+
+
 def test_every_pair_of_a_key_meets_once(spark):
     rows = [(key, nid, n) for key, n in ((1, 2), (2, 5), (3, 41)) for nid in range(n)]
     got = {}

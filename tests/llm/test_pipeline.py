@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomtext.llm import langid, packing, pii, simhash
 from tests.llm.test_copies import SCHEMA, corpus, leaks, tokens
-from tests.llm.test_packing import in_common_keys, nearest_by_brute_force
+from tests.llm.test_packing import in_common_keys, little_alike, nearest_by_brute_force, nearest_of_all_pairs
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +109,22 @@ def test_packing_compares_all_that_share_a_passage(spark, monkeypatch):
     want, largest = nearest_by_brute_force(nodes)
     assert largest > 256 and edges == want
     assert sum(r.end_char - r.start_char for r in pieces) == docs.agg(F.sum("n_chars")).first()[0]
+
+
+def test_packing_relates_all_that_agree_in_any_minimum(spark, monkeypatch):
+    """The last stage has the neighbours of all pairs of texts, also of those that are little alike."""
+    got = []
+
+    def seen(nodes, **options):
+        edges = neighbours(nodes, **options)
+        got.append((nodes.collect(), {(r.a, r.b, r.equal) for r in edges.collect()}))
+        return edges
+
+    neighbours = packing.neighbours
+    monkeypatch.setattr(packing, "neighbours", seen)
+    texts = little_alike()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    ((nodes, edges),) = got
+    assert edges == nearest_of_all_pairs(texts, nodes)
+    assert sum(r.end_char - r.start_char for r in pieces) == sum(map(len, texts))
