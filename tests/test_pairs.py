@@ -59,3 +59,12 @@ def search_of_one_host(spark, d, name, value):
 
 def test_common_lengths_of_a_large_host(spark, one_host):
     search_of_one_host(spark, one_host, "common_lengths", lambda a, b: (S.common_substring(a, b), S.common_subsequence(a, b)))
+
+
+def test_common_substrings_of_a_large_host(spark, one_host):
+    search_of_one_host(spark, one_host, "common_substrings", lambda a, b: (S.common_substring(a, b),))
+
+
+def test_addresses_without_a_common_character_are_no_rows(spark, tmp_path):
+    spark.createDataFrame([(20, "abc"), (21, "xyz"), (22, "za"), (23, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in entry.queries()["common_substrings"](spark, str(tmp_path)).collect()] == [(20, 22, 1)]
