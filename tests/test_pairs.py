@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomtext.functions import similarity as S
-from loomtext.operators import pairs
+from loomtext.operators import pairs, svm
 
 
 def test_blocks_equal_brute_force():
@@ -68,3 +69,16 @@ def test_common_substrings_of_a_large_host(spark, one_host):
 def test_addresses_without_a_common_character_are_no_rows(spark, tmp_path):
     spark.createDataFrame([(20, "abc"), (21, "xyz"), (22, "za"), (23, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in entry.queries()["common_substrings"](spark, str(tmp_path)).collect()] == [(20, 22, 1)]
+
+
+def test_kernel_table_goes_to_many_tasks_and_keeps_odd_vectors(spark):
+    x = np.random.default_rng(4).random((5000, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").coalesce(1)
+    got = svm.kernel_table(df, df.where("id % 20 = 0"), 0.7, most_columns=100).cache()
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 5000 * 250 == got.select("row", "column").distinct().count() and max(parts) * 2 < sum(parts)
+    k = svm.kernel_matrix(x, x[::20], svm.Parameter(gamma=0.7))
+    assert all(abs(r.value - k[r.row, r.column // 20]) < 1e-12 for r in got.where("row % 50 = 7").collect())
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, None), (4, [1.0]), (5, []), (6, [])], "id int, features array<double>")
+    pairs_ = odd.alias("x").crossJoin(odd.alias("y")).select(F.col("x.id").alias("row"), F.col("y.id").alias("column"), svm.rbf(F.col("x.features"), F.col("y.features"), 0.7).alias("value"))
+    assert sorted(map(tuple, svm.kernel_table(odd, odd, 0.7).collect())) == sorted(map(tuple, pairs_.collect()))
