@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomtext.functions import similarity as S
+from loomtext.functions import text as T
 from loomtext.operators import pairs, svm
 
 
@@ -25,6 +26,22 @@ def test_blocks_equal_brute_force():
         assert len(seen) == len(queries) * len(texts)
 
 
+def test_edits_of_blocks_equal_the_columns(spark):
+    rnd = random.Random(5)
+    made = lambda n, most: ["".join(rnd.choices("abé😀", k=rnd.randint(0, most))) for _ in range(n)]
+    texts = [*made(10, 12), *made(10, 150), "", "a" * 100, "a" * 95 + "b" * 5]
+    texts += [t[:-1] for t in texts[:20]] + [t[1:] + "x" for t in texts[:20]]
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts if x or y], "a string, b string")
+    want = {(r.a, r.b): tuple(r)[2:] for r in df.select("a", "b", T.edit_distance(a, b), F.round(T.likeliness(a, b), 9), T.alike(a, b)).collect()}
+    for mine, others, which, block in S.blocks(texts, texts):
+        got = [m[:, which].tolist() for m in (block.edit_distance(), block.likeliness(9), block.alike())]
+        for i, q in enumerate(mine):
+            for j, t in enumerate(others):
+                if texts[q] or texts[t]:
+                    assert tuple(g[i][j] for g in got) == want[texts[q], texts[t]], (texts[q], texts[t])
+
+
 def test_every_query_meets_every_row_of_its_key_once(spark):
     rows = [(f"h{i % 3}" if i % 7 else None, i, f"text {i % 5}" if i % 11 else None) for i in range(300)]
     df = spark.createDataFrame([*rows, rows[1]], "key string, id long, value string")
@@ -66,6 +83,19 @@ def test_common_substrings_of_a_large_host(spark, one_host):
     search_of_one_host(spark, one_host, "common_substrings", lambda a, b: (S.common_substring(a, b),))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(before[j + 1] + 1, row[j] + 1, before[j] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_pairs_of_a_large_host(spark, one_host):
+    search_of_one_host(spark, one_host, "edit_distance_pairs", lambda a, b: (edits(a, b),))
+
+
 def test_addresses_without_a_common_character_are_no_rows(spark, tmp_path):
     spark.createDataFrame([(20, "abc"), (21, "xyz"), (22, "za"), (23, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in entry.queries()["common_substrings"](spark, str(tmp_path)).collect()] == [(20, 22, 1)]
