@@ -96,6 +96,10 @@ def test_edit_distance_pairs_of_a_large_host(spark, one_host):
     search_of_one_host(spark, one_host, "edit_distance_pairs", lambda a, b: (edits(a, b),))
 
 
+def test_likeliness_pairs_of_a_large_host(spark, one_host):
+    search_of_one_host(spark, one_host, "likeliness_pairs", lambda a, b: (round(1 - edits(a, b) / max(len(a), len(b)), 9),))
+
+
 def test_addresses_without_a_common_character_are_no_rows(spark, tmp_path):
     spark.createDataFrame([(20, "abc"), (21, "xyz"), (22, "za"), (23, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in entry.queries()["common_substrings"](spark, str(tmp_path)).collect()] == [(20, 22, 1)]
