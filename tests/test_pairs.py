@@ -100,6 +100,11 @@ def test_likeliness_pairs_of_a_large_host(spark, one_host):
     search_of_one_host(spark, one_host, "likeliness_pairs", lambda a, b: (round(1 - edits(a, b) / max(len(a), len(b)), 9),))
 
 
+def test_alike_pairs_of_a_large_host(spark, one_host):
+    alike = lambda a, b: a.startswith(b) or a.endswith(b) or (10 * len(a) >= 9 * len(b) and 10 * len(b) >= 9 * len(a) and edits(a, b) <= len(b) // 10)
+    search_of_one_host(spark, one_host, "alike_pairs", lambda a, b: (alike(a, b),))
+
+
 def test_addresses_without_a_common_character_are_no_rows(spark, tmp_path):
     spark.createDataFrame([(20, "abc"), (21, "xyz"), (22, "za"), (23, "")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in entry.queries()["common_substrings"](spark, str(tmp_path)).collect()] == [(20, 22, 1)]
