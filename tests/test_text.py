@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomtext.functions import paths as P
 from loomtext.functions import text as T
 from loomtext.sources.tables import cookies
@@ -129,3 +130,18 @@ def test_long_texts_without_a_match_take_linear_time(spark):
     long = "word.word-" * 60000 + " " * 60000 + "," * 60000
     got = spark.createDataFrame([(long,)], "c string").select(T.clean_email(F.col("c")).alias("e"), F.length(T.full_clean(F.col("c"))).alias("n")).first()
     assert got.e == long and got.n > 0
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(0, ""), (1, None), (2, "a , b[c]!!!4")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name, empty, null, other", [
+    ("clean_nonsense", "", None, "ab[c]!!!4"),
+])
+def test_queries_of_an_empty_text_are_their_sql(spark, odd_texts, name, empty, null, other):
+    got = {r.doc_id: r.value for r in entry.queries()[name](spark, odd_texts).collect()}
+    assert {k: str(v) for k, v in got.items()} == {0: str(empty), 1: str(null), 2: str(other)}
