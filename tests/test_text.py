@@ -141,6 +141,7 @@ def odd_texts(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name, empty, null, other", [
     ("clean_nonsense", "", None, "ab[c]!!!4"),
+    ("clean_repetition", "", None, "a , b[c].4"),
 ])
 def test_queries_of_an_empty_text_are_their_sql(spark, odd_texts, name, empty, null, other):
     got = {r.doc_id: r.value for r in entry.queries()[name](spark, odd_texts).collect()}
