@@ -142,6 +142,7 @@ def odd_texts(spark, tmp_path_factory):
 @pytest.mark.parametrize("name, empty, null, other", [
     ("clean_nonsense", "", None, "ab[c]!!!4"),
     ("clean_ubb", "", None, "a , b!!!4"),
+    ("non_numeric_density", float("nan"), None, 1 - 1 / 12),
     ("non_digit_punctuation_density", float("nan"), None, 1 - 7 / 12),
     ("high_char_density", float("nan"), None, 0.0),
     ("clean_repetition", "", None, "a , b[c].4"),
