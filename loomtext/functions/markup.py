@@ -1,9 +1,12 @@
-"""Where tags end, in time linear in the page whatever it holds."""
+"""Where tags end, in time linear in the page whatever it holds; character references."""
 
 from __future__ import annotations
 
+import html
 import re
+from html.entities import html5
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([a-zA-Z][a-zA-Z0-9]*));")
 _PLAIN = re.compile(r"[^>\"']*")
 
 
@@ -43,3 +46,9 @@ class Tags:
                 self.open_at = at
                 return first
             at = close + 1
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded: those that end with a
+    semicolon. ``&amp`` without one stays, as in the reference's decoder."""
+    return _REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0], text)

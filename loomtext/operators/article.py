@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.markup import decoded
 from loomtext.functions.text import SPACE
 from loomtext.operators.dom import Node, parse
 from loomtext.operators.frames import mapped
@@ -158,12 +159,10 @@ _TEXT = ((re.compile(r"(?is)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|article|section|ul
 
 def clean_html(html: str, *, keep_images: bool = False) -> str:
     """Text of markup: block ends become newlines, entities are decoded."""
-    import html as entities
-
     html = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", html)
     html = _TEXT[0][0].sub("\n", html)
     html = re.sub(r"(?is)<(?!img\b)[^>]*>" if keep_images else r"(?s)<[^>]*>", "", html)
-    return entities.unescape(html).strip()
+    return decoded(html).strip()
 
 
 def extract_articles(pages: DataFrame, *, tags: Sequence[str] = PARITY_TAGS, format: bool = False, stop: Sequence[str] = STOP_PHRASES, now: Column | None = None) -> DataFrame:

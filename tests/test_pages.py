@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from loomtext.functions.markup import decoded
 from loomtext.operators import article, charset, evaluate, listing, paging, reflow, wrapper
 from loomtext.operators.dom import node_table, parse
 from loomtext.operators.formatter import format_html
@@ -204,3 +206,11 @@ def test_rows_of_a_pattern_that_takes_too_long_say_so(spark):
     assert [r.complete for r in wrapper.regex_rows(df).collect()] == [True] * 3
     late = wrapper.regex_rows(df, seconds=-1.0).orderBy("page_id").collect()
     assert [(r.page_id, r.complete) for r in late] == [(1, False), (2, False)] and late[1].title is None
+
+
+def test_references_end_with_a_semicolon(spark, tmp_path):
+    assert decoded("a&amp;b &amp &ampx &notit; &lt;&#65;&#x42; &nosuch; &amp;lt; &eacute;") == "a&b &amp &ampx &notit; <AB &nosuch; &lt; é"
+    rows = [(1, "u", "<h1>A &amp; B &lt;c&gt; &amp</h1>"), (2, "u", "<p>x</p>"), (3, "u", "<h1> </h1>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in entry.queries()["item_titles"](spark, str(tmp_path)).collect()}
+    assert got == {1: "A & B <c> &amp", 2: "", 3: ""}
