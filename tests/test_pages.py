@@ -214,3 +214,12 @@ def test_references_end_with_a_semicolon(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.title for r in entry.queries()["item_titles"](spark, str(tmp_path)).collect()}
     assert got == {1: "A & B <c> &amp", 2: "", 3: ""}
+
+
+def test_page_numbers_of_six_digits(spark, tmp_path):
+    rows = [(k, "http://s.com/x", "") for k in (99_998, 99_999, 100_000, 12_345_677)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.next_url, r.rule) for r in entry.queries()["next_of_numbered"](spark, str(tmp_path)).collect()}
+    assert got == {k: (f"http://s.com/p/{k + 1}", 1 + k % 2) for k, _, _ in rows}
+    links = spark.createDataFrame([(1, k, str(k), f"http://s.com/{n + k}") for n in (100_000,) for k in (1, 2)], "page_id long, idx int, text string, href string")
+    assert paging.next_links(links).count() == 0 and paging.next_links(links, digits=6).count() == 1
