@@ -58,6 +58,19 @@ def majority_ancestor(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     return most.groupBy("page_id").agg(F.max_by("node_id", F.struct("depth", -F.col("node_id"))).alias("node_id"))
 
 
+def majority_paths(chosen: DataFrame) -> DataFrame:
+    """page_id, xpath, chosen: the path of the node that ``majority_ancestor`` gives,
+    and how many nodes are chosen. What holds a node has a beginning of its path
+    for its own, so the chosen nodes (page_id, xpath) are all that is needed."""
+    steps = F.split("xpath", "/")
+    # the beginning without a step is the page, which holds all
+    each = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("xpath")))
+    held = chosen.select("page_id", F.explode(each).alias("of")).groupBy("page_id", "of").agg(F.count("*").alias("n"))
+    x = held.groupBy("page_id").agg(F.max("n").alias("chosen"), F.collect_list(F.struct("of.depth", "of.xpath", "n")).alias("all"))
+    most = F.array_max(F.filter("all", lambda s: (s["depth"] > 1) & (s["n"] * 2 > F.col("chosen"))))
+    return x.select("page_id", most["xpath"].alias("xpath"), "chosen").where("xpath is not null")
+
+
 def same_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
     """page_id, same: whether two selections (page_id, node_id) are one set."""
     each = [x.groupBy("page_id").agg(F.array_sort(F.collect_set("node_id")).alias(k)) for x, k in ((a, "a"), (b, "b"))]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomtext.functions import nodes as N
 from loomtext.functions import similarity as S
 from loomtext.operators import features, frames, items, listing, svm
@@ -123,3 +124,20 @@ def test_relations_by_a_model_and_their_composition(spark):
     two = spark.createDataFrame([(1, "./a", "DateXPath", 400.0), (1, "./a", "AuthorXPath", 450.0), (1, "./b", "DateXPath", 300.0)], "page_id long, pattern string, field string, score double")
     assert {(r.field, r.path) for r in listing.compositions(two).collect()} == {("AuthorXPath", "./a"), ("DateXPath", "./b")}
     assert listing.compositions(two.limit(0)).count() == 0
+
+
+def test_majority_paths_are_those_of_the_ancestors(spark, tmp_path):
+    rnd = random.Random(7)
+    made = lambda d: "".join(f"<{(g := rnd.choice(['div', 'ul', 'li', 'b']))}>{made(d - 1)}</{g}>" for _ in range(rnd.randint(0, 3))) if d else "t"
+    pages = spark.createDataFrame([(i, f"<html><body>{made(5)}</body></html>") for i in range(60)] + [(60, ""), (61, "<li>a</li>"), (62, "<li>a</li><li>b</li>")], "page_id long, html string")
+    nodes = node_table(pages, subtree_text=False).cache()
+    chosen = nodes.where("tag = 'li'")
+    want = N.majority_ancestor(nodes, chosen).join(nodes, ["page_id", "node_id"]).select("page_id", "xpath")
+    got = N.majority_paths(chosen)
+    assert sorted(map(tuple, got.select("page_id", "xpath").collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    some = node_table(pages, subtree_text=False, tags=["li", "b"])
+    key = ["page_id", "node_id", "end_id", "parent_id", "depth", "sib_ord", "tag", "own_text", "xpath"]
+    assert sorted(map(tuple, some.select(key).collect())) == sorted(map(tuple, nodes.where("tag in ('li', 'b')").select(key).collect()))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    plan = entry.queries()["list_holders"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
