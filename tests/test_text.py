@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,18 @@ def odd_texts(spark, tmp_path_factory):
 def test_queries_of_an_empty_text_are_their_sql(spark, odd_texts, name, empty, null, other):
     got = {r.doc_id: r.value for r in entry.queries()[name](spark, odd_texts).collect()}
     assert {k: str(v) for k, v in got.items()} == {0: str(empty), 1: str(null), 2: str(other)}
+
+
+def test_fast_patterns_match_what_the_plain_ones_match(spark):
+    rnd = random.Random(9)
+    chars = " \t\n\x0b\x1c\x84\x85\x86\xa0 ᠎   　" + "".join(T._MARKS) * 2 + "ab9é¤↏←➿⟀囧〓﹀😀&#;<>" * 3
+    rows = [("".join(rnd.choice(chars) * rnd.choice((1, 1, 1, 3, 4)) for _ in range(30)),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "c string")
+    c = F.col("c")
+    plain = c
+    for p in (T.SPACED_MARKS, T.CONTROL, T.ODD, T.CODE):
+        plain = F.regexp_replace(plain, p, "")
+    assert df.where(plain != T.clean_nonsense(c)).count() == 0 and df.where(plain != c).count() > 1000
+    assert df.where(F.regexp_replace(c, T.REPEATED, ".") != T.clean_repetition(c)).count() == 0
+    tags = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</(script|style)\s*>", ""), r"(?is)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|article|section|ul|ol|table)\s*>", "\n"), r"(?s)<[^>]*>", "")
+    assert df.where(T.decode_entities(tags) != T.strip_html(c)).count() == 0
